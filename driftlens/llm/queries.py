@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, chat, decontam, quality, sharding, tokenfile, urlrules
+from driftlens.llm import bpe, chat, decontam, quality, sharding, simhash, tokenfile, urlrules
 from driftlens.llm.common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.judged(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
     return chat.read_back(chat.written(chat.events_of(turns)))
@@ -46,6 +50,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_simhash_near_dedup,
         op2_chat_formatting,
         op3_benchmark_decontamination,
         op4_quality_rules,
