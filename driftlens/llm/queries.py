@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, chat, decontam, quality, sharding, simhash, tokenfile, urlrules
+from driftlens.llm import bpe, chat, decontam, fmindex, quality, sharding, simhash, tokenfile, urlrules
 from driftlens.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.judged(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
     return x.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -56,6 +60,7 @@ QUERIES = {
         op4_quality_rules,
         op5_token_id_output,
         op6_url_filters,
+        op7_substring_dedup,
         op8_bpe_encoding,
         op9_sharding,
     )
