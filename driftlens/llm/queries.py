@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, chat, decontam, fmindex, quality, sharding, simhash, tokenfile, urlrules
+from driftlens.llm import bpe, chat, decontam, fmindex, quality, sharding, simhash, tokenfile, toxicity, urlrules
 from driftlens.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,6 +67,7 @@ QUERIES = {
         op7_substring_dedup,
         op8_bpe_encoding,
         op9_sharding,
+        op10_toxicity,
     )
 }
 ORACLE_SQL = {"op4_quality_rules": quality.oracle()}

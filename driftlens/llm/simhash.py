@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIM
     normal = F.array_join(F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r ABCDEFGHIJKLMNOPQRSTUVWXYZ", "      abcdefghijklmnopqrstuvwxyz"), " ", -1), ""), " ")
     named = stored(docs.select("row", F.sha2(F.encode(normal, "UTF-8"), 256).alias("words")), "equal-words")
     first = stored(named.groupBy("words").agg(F.min("row").alias("row"), F.count("*").alias("n")), "distinct-words")
-    sketches = stored(sketched(docs.join(first.select("row"), "row", "left_semi").select("row", "text"), words), "sketches")
+    sketches = stored(sketched(docs.select("row", "text"), words), "all-sketches").join(first.select("row"), "row", "left_semi")
     groups = components(candidates(sketches, radius))
     whole = stored(groups.select(F.col("node").alias("row"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("row"), F.col("root").alias("group")).distinct()), "candidate-groups")
     sizes = whole.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -356,9 +356,8 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     names = docs.columns
     ident, text = at(docs, "doc_id"), at(docs, "text")
     x = docs.toDF(*[f"_{k}" for k in range(len(names))])
-    order = stored(x.select(F.col(f"_{ident}").cast("long").alias("doc_id"), F.col(f"_{text}").cast("string").alias("text"), F.struct(*x.columns).alias("all")), "near-input")
-    # Places that ascend by doc_id: files are read in a fixed split, so an id names the same row each time.
-    numbered = stored(order.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    own = (F.col(f"_{ident}").cast("long").alias("doc_id"), F.col(f"_{text}").cast("string").alias("text"), F.struct(*x.columns).alias("all"))
+    numbered = stored(x.select(*own, F.monotonically_increasing_id().alias("row")), "near-rows")
     groups = near_duplicates(numbered.select("row", "text"), **how)
     ids = groups.join(numbered.select("row", "doc_id"), "row")
     keep = ids.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
