@@ -1,4 +1,5 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from driftlens.plans.core import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
