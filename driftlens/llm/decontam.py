@@ -120,7 +120,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_byt
 
         last = k == len(parts) - 1
         fields = {"n_words": LONG, f"_n{k}": LONG, f"_h{k}": SPANS, f"_i{k}": T.ArrayType(STRING)}
-        x = text_mapped(x.drop("n_words"), "_text", make, fields, [c for c in x.columns if c != "n_words" and (not last or c != "_text")])
+        x = text_mapped(x.drop("n_words"), "_text", make, fields, [c for c in x.columns if c != "n_words" and (len(parts) > 1 or c != "_text")])
         x = x if last else stored(x, "decontam")
     if len(parts) == 1:
         return x.withColumnsRenamed({"_n0": "n_hit", "_h0": "hits", "_i0": "items"}).select(*[F.col(f"`{n}`") for n in names], *FIELDS)
