@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators import classify, contract, diff, rules
+from driftlens.operators import classify, contract, diff, extract, rules
+from driftlens.plans import review
 from driftlens.plans.bindings import BINDINGS, load
 from driftlens.plans.core import QUERIES, register
 from driftlens.sources import patches
@@ -209,6 +210,33 @@ def _(x):
     return diff.refined(x.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.split("old", "\n").alias("old"), F.split("new", "\n").alias("new")))
 
 
+# Syntax: an order's lines as a Python module, each a function that calls another.
+
+
+def modules(lineitem: DataFrame) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    body = F.concat(F.lit("def f"), s("l_partkey"), F.lit("(a):\n    return g"), s("l_suppkey"), F.lit("(a)\n"))
+    pieces = F.struct("l_linenumber", "l_partkey", "l_suppkey", body.alias("t"))
+    got = lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pieces)), lambda x: x["t"]), "").alias("text"))
+    return got.select(F.floor(F.col("l_orderkey") / 1000).cast("long").alias("review"), F.col("l_orderkey").alias("file"), F.lit("python").alias("lang"), "text")
+
+
+@register("python_facts", ("lineitem",), """
+WITH x AS (SELECT l_orderkey AS file, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
+SELECT file, 'def' AS kind, 'f' || l_partkey AS name, 2 * k - 1 AS row_no, 2 * k AS hi FROM x UNION ALL SELECT file, 'call', 'g' || l_suppkey, 2 * k, 2 * k FROM x""")
+def _(lineitem):
+    return extract.facts(modules(lineitem)).where("kind in ('def', 'call')").select("file", "kind", "name", "row_no", "hi")
+
+
+@register("whole_review", ("lineitem",))
+def _(lineitem):
+    m = modules(lineitem.where("l_orderkey % 50 = 0"))
+    place = F.row_number().over(Window.partitionBy("review").orderBy("file")).cast("long") - 1
+    old = F.regexp_replace("text", r"g(\d)", r"h$1")
+    changes = m.select("review", place.alias("file"), F.concat(F.lit("src/m"), F.col("file").cast("string"), F.lit(".py")).alias("path"), old.alias("old"), F.col("text").alias("new"))
+    return review.analyse(changes).hunks.select("review", "file", "hunk", "o0", "o1", "n0", "n1", "shape", "category", "declared", "uses", "rationale")
+
+
 # Sources and sinks.
 
 
