@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators import classify, contract, diff, extract, rules
+from driftlens.operators import classify, contract, diff, edits, extract, rules
 from driftlens.plans import review
 from driftlens.plans.bindings import BINDINGS, load
 from driftlens.plans.core import QUERIES, register
@@ -276,6 +276,40 @@ def _(lineitem):
     return patches.lcov(rows.select("trace", F.struct("o", "k").alias("place"), "value"))
 
 
+# Recurring edits, features, labels from later fixes.
+
+
+@register("same_edits", ("lineitem",), """
+WITH RECURSIVE h AS (SELECT DISTINCT l_orderkey AS node, l_orderkey % 5 AS home, 'edit number ' || l_partkey AS edit FROM lineitem WHERE l_orderkey % 20 = 0),
+f AS (SELECT edit, min(node) AS first FROM h GROUP BY edit HAVING count(DISTINCT home) >= 1), e AS (SELECT DISTINCT first AS a, node AS b FROM h JOIN f USING (edit) WHERE node <> first),
+b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node WHERE r.root < b.b) SELECT node, min(root) AS cluster FROM r GROUP BY node""")
+def _(lineitem):
+    x = lineitem.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("node"), F.col("l_orderkey").alias("home"), F.concat(F.lit("edit number "), F.col("l_partkey").cast("string")).alias("edit")).dropDuplicates()
+    return edits.same_edits(x)
+
+
+@register("feature_vector", ("hunks",), """
+SELECT review * 1000000 + file * 1000 + hunk AS node, CAST(noise AS INTEGER)::DOUBLE AS noise, 0.0::DOUBLE AS comment, (file = 1)::INTEGER::DOUBLE AS test_path, added::DOUBLE AS lines_added, removed::DOUBLE AS lines_removed, priority::DOUBLE AS defines, scope::DOUBLE AS uses,
+0.0::DOUBLE AS edges_out, 0.0::DOUBLE AS edges_in, 1.0::DOUBLE AS has_history, 0.0::DOUBLE AS churn, 0.0::DOUBLE AS fixes, (scope = 0)::INTEGER::DOUBLE AS category_import, (scope = 1)::INTEGER::DOUBLE AS category_definition, (scope = 2)::INTEGER::DOUBLE AS category_other,
+0.0::DOUBLE AS extent_whitespace, 0.0::DOUBLE AS extent_formatting, (added > 0 AND removed > 0)::INTEGER::DOUBLE AS extent_edited, 0.0::DOUBLE AS extent_rewritten, (removed = 0)::INTEGER::DOUBLE AS extent_added, (added = 0 AND removed > 0)::INTEGER::DOUBLE AS extent_removed, 0.0::DOUBLE AS extent_none,
+3.0::DOUBLE AS rationale_words, 2.0::DOUBLE AS rationale_clauses, 0.0::DOUBLE AS rationale_commas, 0.0::DOUBLE AS rationale_more FROM hunks""")
+def _(hunks):
+    zero = F.lit(0)
+    x = hunks.select((F.col("review") * 1000000 + F.col("file") * 1000 + F.col("hunk")).alias("node"), "noise", zero.alias("comment"), (F.col("file") == 1).alias("test_path"), F.col("added").alias("lines_added"), F.col("removed").alias("lines_removed"), F.col("priority").alias("defines"), F.col("scope").alias("uses"),
+                     zero.alias("edges_out"), zero.alias("edges_in"), F.lit(1).alias("has_history"), zero.alias("churn"), zero.alias("fixes"), F.get(F.array(*[F.lit(c) for c in edits.CATEGORIES]), F.col("scope").cast("int")).alias("category"),
+                     classify.extent(F.col("added"), F.col("removed"), F.lit(1.0), F.lit(False)).alias("extent"), F.lit("adds x; edits").alias("rationale"))
+    return edits.features(x)
+
+
+@register("later_fix", ("lineitem",), """
+WITH h AS (SELECT l_orderkey * 10 + l_linenumber AS node, l_suppkey AS path, l_partkey AS lo, l_partkey + 20 AS hi, min(l_shipdate) AS at FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2, 3, 4), f AS (SELECT l_suppkey AS path, l_partkey AS line, l_shipdate AS fixed_at FROM lineitem WHERE l_returnflag = 'R')
+SELECT node, EXISTS (SELECT 1 FROM h g JOIN f ON f.path = g.path WHERE g.node = h.node AND f.fixed_at > g.at AND f.fixed_at <= g.at + INTERVAL 90 DAY AND f.line BETWEEN g.lo AND g.hi) AS later_fix FROM h""")
+def _(x):
+    h = x.where("l_returnflag = 'A'").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + 20).alias("hi")).agg(F.min("l_shipdate").alias("at"))
+    f = x.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("line"), F.col("l_shipdate").alias("fixed_at"))
+    return edits.later_fix(h, f, 90)
+
+
 # State over time.
 
 
