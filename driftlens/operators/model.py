@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators.report import ranked
+
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
@@ -33,10 +35,10 @@ def policy(p: Column, noise: Column, hide: float = 0.9, unhide: float = 0.2) ->
 def auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by rank sums, ties counted half. rows: score, label 0/1.
 
-    Ranks come from counts of distinct scores, so one window runs over scores, not rows.
+    Ranks come from counts of distinct scores: the window runs over scores rounded to four decimals, 10,001 at most in [0, 1].
     """
     by = by or []
-    each = rows.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    each = rows.groupBy(*by, F.round("score", 4).alias("score")).agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
     below = F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
     ranked = each.withColumn("mid", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
     got = ranked.groupBy(*by).agg(F.sum(F.col("mid") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"))
@@ -94,9 +96,13 @@ def pairwise(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def tertiles(rows: DataFrame) -> DataFrame:
-    """Label rate in each third of the scores."""
-    third = F.ntile(3).over(Window.orderBy("score", "key"))
-    return rows.withColumn("third", third).groupBy("third").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("rate"))
+    """Label rate in each third of the scores; the first thirds take what does not divide."""
+    x = ranked(rows, ["score", "key"])
+    n = rows.count()
+    size, more = n // 3, n % 3
+    edges = [size + (more > 0), 2 * size + (more > 0) + (more > 1)]
+    third = F.when(F.col("rank") < edges[0], 1).when(F.col("rank") < edges[1], 2).otherwise(3)
+    return x.groupBy(third.alias("third")).agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("rate"))
 
 
 def stratified(rows: DataFrame, stratum: str, order: list[Column], quota: int) -> DataFrame:

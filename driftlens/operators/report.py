@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators.graph import cut
+
 HUNK = ["review", "file", "hunk"]
 DAY = 86400
 
@@ -148,6 +150,21 @@ def name_list(rows: DataFrame, key: list[str], value: str, shown: int = 3) -> Da
     return got.select(*key, F.concat(F.array_join(F.slice("v", 1, shown), ", "), more).alias("text"))
 
 
+def ranked(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Rows with their place from 0 in a total order, without bringing them to one task: ranges are sorted each by itself
+    and start after the rows of the ranges before them, which the driver adds up (one number for each range)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before, total = [], 0
+    counts = dict(dealt.groupBy("_part").count().collect())
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    first = F.get(F.array(*[F.lit(n).cast("long") for n in before or [0]]), F.col("_part"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long") - 1
+    return dealt.withColumn(name, first + inside).drop("_part")
+
+
 def fitted(pieces: Column, budget: int = 240) -> Column:
     """Pieces joined by '; ' as long as they fit the budget, then how many were left out."""
     fold = F.aggregate(
