@@ -110,3 +110,20 @@ def stratified(rows: DataFrame, stratum: str, order: list[Column], quota: int) -
     by = Window.partitionBy(stratum)
     x = rows.withColumn("place", F.row_number().over(by.orderBy(*order))).withColumn("n", F.count("*").over(by)).where(F.col("place") <= quota)
     return x.select("key", stratum, F.round(F.col("n") / F.least(F.col("n"), F.lit(quota)), 6).alias("weight"))
+
+
+def tree_value(tree: dict) -> Column:
+    """A decision tree compiled to nested conditions. A node has feature, threshold, left and right, a leaf has value; a row
+    goes left if its feature as a 32-bit float is at most the threshold."""
+    if "value" in tree:
+        return F.lit(float(tree["value"]))
+    low = F.col(tree["feature"]).cast("float") <= F.lit(float(tree["threshold"])).cast("float")
+    return F.when(low, tree_value(tree["left"])).otherwise(tree_value(tree["right"]))
+
+
+def ensemble(rows: DataFrame, trees: list[dict], bias: float = 0.0) -> DataFrame:
+    """p: the sigmoid of all trees' values in double precision."""
+    total = F.lit(float(bias))
+    for t in trees:
+        total = total + tree_value(t)
+    return rows.withColumn("p", sigmoid(total))

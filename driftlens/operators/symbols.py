@@ -118,3 +118,54 @@ def arity(definitions: DataFrame, calls: DataFrame) -> DataFrame:
 def incomplete_renames(renamed: DataFrame, new: DataFrame, uses: DataFrame) -> DataFrame:
     """Old names that nothing defines any more but something still uses."""
     return renamed.select("file", F.col("before").alias("name")).join(new.select("name"), "name", "left_anti").join(uses.select(F.col("symbol").alias("name")), "name", "left_semi").select("file", "name").dropDuplicates()
+
+
+def consumers(files: DataFrame, needles: DataFrame, most_files: int = 200, most_bytes: int = 512 * 1024, most_total: int = 8 * 1024 * 1024) -> DataFrame:
+    """Files (repo, path, content) that hold a needle, in path order, until a repository's caps of files and bytes are reached.
+
+    Needles (needle) are the imports of one change: a stated, small set, so they become one pattern of the scan."""
+    pattern = "|".join("\\Q" + r["needle"].replace("\\E", "\\E\\\\E\\Q") + "\\E" for r in needles.select("needle").dropDuplicates().orderBy("needle").collect())
+    hit = files.withColumn("size", F.octet_length("content").cast("long")).where(F.col("size") <= most_bytes)
+    hit = hit.where(F.col("content").rlike(pattern) if pattern else F.lit(False))
+    by = Window.partitionBy("repo").orderBy("path")
+    x = hit.withColumn("n", F.row_number().over(by)).withColumn("total", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.where((F.col("n") <= most_files) & (F.col("total") <= most_total)).select("repo", "path", "size")
+
+
+def symbol_history(touches: DataFrame, at: DataFrame, most: int = 10) -> DataFrame:
+    """The nearest commits before and after each point that touch its symbol. touches: symbol, time, sha; at: symbol, point."""
+    x = touches.join(at, "symbol").where("time <> point").withColumn("side", F.when(F.col("time") < F.col("point"), "before").otherwise("after"))
+    gap = F.when(F.col("time") < F.col("point"), F.col("point") - F.col("time")).otherwise(F.col("time") - F.col("point"))
+    place = F.row_number().over(Window.partitionBy("symbol", "point", "side").orderBy(gap, "sha"))
+    return x.withColumn("place", place).where(F.col("place") <= most).select("symbol", "point", "side", "place", "sha")
+
+
+def stale_strings(texts: DataFrame, renamed: DataFrame) -> DataFrame:
+    """Quoted dotted paths in texts (id, text) that still name an old place (before, after)."""
+    quoted = texts.select("id", F.explode(F.regexp_extract_all("text", F.lit("[\"']([A-Za-z_][A-Za-z0-9_]*(?:[.][A-Za-z0-9_]+)+)[\"']"), 1)).alias("before"))
+    return quoted.join(renamed, "before").select("id", "before", "after").dropDuplicates()
+
+
+def own_bound(uses: DataFrame, bound: DataFrame, imported: DataFrame) -> DataFrame:
+    """Uses (grp, file, symbol) of names that the file binds itself and does not import."""
+    return uses.join(bound.select("file", "symbol"), ["file", "symbol"], "left_semi").join(imported.select("file", "symbol"), ["file", "symbol"], "left_anti")
+
+
+def relation(pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    """Whether the first of a pair (a, b) reaches the second, the other way round, or neither. reach: start, node."""
+    r = reach.select(F.col("start").alias("a"), F.col("node").alias("b"), F.lit(1).alias("down"))
+    s = reach.select(F.col("node").alias("a"), F.col("start").alias("b"), F.lit(1).alias("up"))
+    said = F.when(F.col("down") == 1, "before").when(F.col("up") == 1, "after").otherwise("free")
+    return pairs.join(r, ["a", "b"], "left").join(s, ["a", "b"], "left").select("a", "b", said.alias("relation"))
+
+
+def extractions(old: DataFrame, new: DataFrame, least: int = 3) -> DataFrame:
+    """New definitions with ``least`` lines or more of which at least so many and half left one old definition of the file.
+
+    old, new: file, name, line. The source must still be there without those lines; the one that gave most, then the first."""
+    added = new.join(old.select("file", "name").dropDuplicates(), ["file", "name"], "left_anti")
+    sizes = added.groupBy("file", "name").agg(F.count_distinct("line").alias("size")).where(F.col("size") >= least)
+    left = old.join(new.select("file", "name").dropDuplicates(), ["file", "name"], "left_semi").join(new, ["file", "name", "line"], "left_anti").select("file", "line", F.col("name").alias("source")).dropDuplicates()
+    shared = added.dropDuplicates().join(left, ["file", "line"]).groupBy("file", "name", "source").agg(F.count_distinct("line").alias("shared"))
+    good = shared.join(sizes, ["file", "name"]).where((F.col("shared") >= least) & (2 * F.col("shared") >= F.col("size")))
+    return good.groupBy("file", "name").agg(F.min_by("source", F.struct(-F.col("shared"), F.col("source"))).alias("source"), F.max("shared").alias("shared"))

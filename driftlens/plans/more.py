@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators import classify, contract, diff, edits, extract, rules
+from driftlens.operators import classify, contract, diff, edits, extract, graph, model, rules, symbols
 from driftlens.plans import review
 from driftlens.plans.bindings import BINDINGS, load
 from driftlens.plans.core import QUERIES, register
@@ -310,6 +310,68 @@ def _(x):
     return edits.later_fix(h, f, 90)
 
 
+TREES = [
+    {"feature": "added", "threshold": 2.5, "left": {"value": 0.3}, "right": {"feature": "removed", "threshold": 0.5, "left": {"value": 0.1}, "right": {"value": -0.7}}},
+    {"feature": "scope", "threshold": 1.0, "left": {"value": -0.2}, "right": {"value": 0.4}},
+]
+
+
+@register("tree_inference", ("hunks",), """
+SELECT review, file, hunk, round(1 / (1 + exp(-(0.1 + CASE WHEN added <= 2.5 THEN 0.3 WHEN removed <= 0.5 THEN 0.1 ELSE -0.7 END + CASE WHEN scope <= 1 THEN -0.2 ELSE 0.4 END))), 4) AS p FROM hunks""")
+def _(hunks):
+    return model.ensemble(hunks, TREES, 0.1).select("review", "file", "hunk", F.round("p", 4).alias("p"))
+
+
+@register("consumers", ("documents",), """
+WITH x AS (SELECT source AS repo, doc_id AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE (contains(text, 'idiot') OR contains(text, 'th.')) AND octet_length(encode(text)) <= 524288),
+y AS (SELECT *, row_number() OVER w AS n, sum(size) OVER (PARTITION BY repo ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM x WINDOW w AS (PARTITION BY repo ORDER BY path)) SELECT repo, path, size FROM y WHERE n <= 5 AND t <= 20000""")
+def _(documents):
+    needles = documents.sparkSession.createDataFrame([("idiot",), ("th.",)], "needle string")
+    return symbols.consumers(documents.select(F.col("source").alias("repo"), F.col("doc_id").alias("path"), F.col("text").alias("content")), needles, 5, most_total=20000)
+
+
+@register("symbol_history", ("lineitem",), """
+WITH t AS (SELECT DISTINCT l_partkey AS symbol, l_orderkey AS time, l_orderkey * 10 AS sha FROM lineitem), a AS (SELECT l_partkey AS symbol, min(l_orderkey) + 2000 AS point FROM lineitem GROUP BY 1),
+x AS (SELECT t.symbol, a.point, CASE WHEN time < point THEN 'before' ELSE 'after' END AS side, sha, row_number() OVER (PARTITION BY t.symbol, point, time < point ORDER BY abs(time - point), sha) AS place FROM t JOIN a ON a.symbol = t.symbol WHERE time <> point) SELECT symbol, point, side, CAST(place AS INTEGER) AS place, sha FROM x WHERE place <= 10""")
+def _(x):
+    touches = x.select(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("time"), (F.col("l_orderkey") * 10).alias("sha")).dropDuplicates()
+    return symbols.symbol_history(touches, x.groupBy(F.col("l_partkey").alias("symbol")).agg((F.min("l_orderkey") + 2000).alias("point")))
+
+
+@register("stale_strings", ("orders",), """
+SELECT o_orderkey AS id, 'pkg.m' || o_custkey AS before, 'new.m' || o_custkey AS after FROM orders WHERE o_custkey % 3 = 0""")
+def _(orders):
+    name = lambda p: F.concat(F.lit(p), F.col("o_custkey").cast("string"))
+    texts = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("x = 'pkg.m"), F.col("o_custkey").cast("string"), F.lit("' or \"other.y\" or pkg.m1")).alias("text"))
+    return symbols.stale_strings(texts, orders.where("o_custkey % 3 = 0").select(name("pkg.m").alias("before"), name("new.m").alias("after")).dropDuplicates())
+
+
+@register("own_bound", ("defines", "uses"), "SELECT u.grp, u.file, u.symbol FROM uses u WHERE EXISTS (SELECT 1 FROM defines d WHERE d.file = u.file AND d.symbol = u.symbol) AND NOT EXISTS (SELECT 1 FROM uses i WHERE i.file = u.file AND i.symbol = u.symbol AND i.grp % 3 = 0)")
+def _(defines, uses):
+    return symbols.own_bound(uses, defines, uses.where("grp % 3 = 0")).select("grp", "file", "symbol")
+
+
+@register("pair_relation", ("dag",), """
+WITH RECURSIVE r(start, node) AS (SELECT src, dst FROM dag WHERE src < 3000 UNION SELECT r.start, d.dst FROM r JOIN dag d ON d.src = r.node), p AS (SELECT DISTINCT src AS a, src + 100 AS b FROM dag WHERE src < 3000 UNION SELECT dst, src FROM dag WHERE src < 3000)
+SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM r WHERE start = a AND node = b) THEN 'before' WHEN EXISTS (SELECT 1 FROM r WHERE start = b AND node = a) THEN 'after' ELSE 'free' END AS relation FROM p""")
+def _(dag):
+    low = dag.where("src < 3000")
+    pairs = low.select(F.col("src").alias("a"), (F.col("src") + 100).alias("b")).union(low.select("dst", "src")).dropDuplicates()
+    return symbols.relation(pairs, graph.closure(dag, low.select(F.col("src").alias("start")).dropDuplicates()))
+
+
+@register("extractions", ("lineitem",), """
+WITH o AS (SELECT DISTINCT l_suppkey % 20 AS file, l_linenumber AS name, l_partkey % 60 AS line FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT DISTINCT l_suppkey % 20 AS file, l_linenumber + CASE WHEN l_orderkey % 2 = 0 THEN 10 ELSE 0 END AS name, l_partkey % 60 AS line FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 8 < 2),
+a AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file = n.file AND o.name = n.name)), z AS (SELECT file, name, count(DISTINCT line) AS size FROM a GROUP BY ALL HAVING count(DISTINCT line) >= 3),
+l AS (SELECT DISTINCT file, line, name AS source FROM o WHERE EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name) AND NOT EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name AND n.line = o.line)),
+s AS (SELECT a.file, a.name, l.source, count(DISTINCT a.line) AS shared FROM a JOIN l ON l.file = a.file AND l.line = a.line GROUP BY ALL) SELECT s.file, s.name, first(source ORDER BY shared DESC, source) AS source, max(shared) AS shared FROM s JOIN z ON z.file = s.file AND z.name = s.name WHERE shared >= 3 AND 2 * shared >= size GROUP BY ALL""")
+def _(x):
+    file, line = (F.col("l_suppkey") % 20).alias("file"), (F.col("l_partkey") % 60).alias("line")
+    old = x.where("l_returnflag = 'A'").select(file, F.col("l_linenumber").alias("name"), line).dropDuplicates()
+    name = F.col("l_linenumber") + F.when(F.col("l_orderkey") % 2 == 0, 10).otherwise(0)
+    return symbols.extractions(old, x.where("l_returnflag = 'R' and l_orderkey % 8 < 2").select(file, name.alias("name"), line).dropDuplicates())
+
+
 # State over time.
 
 
