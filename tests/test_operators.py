@@ -68,3 +68,9 @@ def test_file_gate(spark):
     u = spark.createDataFrame([(5, 0, 7), (6, 1, 7), (6, 1, 8)], "grp long, file long, symbol long")
     assert {tuple(r) for r in symbols.edges(d, u).collect()} == {(1, 5, 7), (1, 6, 7)}
     assert {tuple(r) for r in symbols.edges(d, u, cross_file=False).collect()} == {(1, 5, 7)}
+
+
+def test_token_intents(spark):
+    pairs = {("<", "<="): "Boundary", ("==", "!="): "Inverts", ("", "not"): "Inverts", ("3", "MAX_N"): "NamesLiteral", ("", "async"): "Async", ("", "and ok"): "Condition", ("1", "2"): "Value", ("a", "b"): None, (None, None): None}
+    x = spark.createDataFrame(list(pairs), "o string, n string").select("o", "n", classify.token_intent(F.col("o"), F.col("n")).alias("i"))
+    assert {(r["o"], r["n"]): r["i"] for r in x.collect()} == pairs
