@@ -6,8 +6,8 @@ response of each filter over the whole text is pooled, and a linear layer gives
 calibrated by language, as guessed from the text's own function words, on rows left out of the fit; the score moves
 each language's threshold to THRESHOLD.
 
-Fitting uses a bounded sample: at most PER_CLASS labelled rows of each class, the first by a hash of the id, with texts of at
-most SAMPLE_BYTES. It runs on the driver over hashed words only. Scoring reads every whole text in pieces of PIECE words
+Fitting uses a bounded sample: at most PER_CLASS labelled ids of each class, the first by a hash of the id, as far as they have
+a text of at most SAMPLE_BYTES. It runs on the driver over hashed words only. Scoring reads every whole text in pieces of PIECE words
 and is one pass without exchange; after fitting, a filter's response is a sum of table rows.
 
 Defined cases: null and empty texts have no words and get the score of the padding alone; texts shorter than a filter are
@@ -246,16 +246,16 @@ def fold(ident: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """Hashed words and label of the bounded sample."""
+    """doc_id, toxic and hashed words of the bounded sample; of rows with one id the first by their words.
+
+    Ids are chosen from the labels alone and, being at most 2 * per_class, are broadcast: no text is moved.
+    """
     own = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    own = own.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 2)
-    rows = documents(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(own.dropDuplicates(["doc_id"]), "doc_id")
-    # Ids first, with their hash: the top rows of a class are kept by each task before they meet.
-    picked = None
-    for label in (0, 1):
-        some = rows.where(F.col("toxic") == label).select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class)
-        picked = some if picked is None else picked.unionByName(some)
-    return text_mapped(picked, "text", lambda: lambda texts: ([hashed(t).tobytes() for t in texts],), {"words": BINARY}, ["doc_id", "toxic"])
+    own = own.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = [own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for label in (0, 1)]
+    rows = documents(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    found = text_mapped(rows, "text", lambda: lambda texts: ([hashed(t).tobytes() for t in texts],), {"words": BINARY}, ["doc_id", "toxic"])
+    return found.groupBy("doc_id", "toxic").agg(F.min("words").alias("words"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
