@@ -76,7 +76,7 @@ class FmIndex:
         n = len(text)
         owner = np.repeat(np.arange(len(sequences)), [len(s) + 1 for s in sequences])
         rank, order, step = text, np.argsort(text, kind="stable"), 1
-        while step < depth:
+        while step < min(depth, n):
             following = np.zeros(n, np.int64)
             following[: n - step] = rank[step:] + 1
             key = rank * (n + 2) + following
