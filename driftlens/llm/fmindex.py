@@ -179,21 +179,21 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def anchors(texts: DataFrame, window: int, part: int) -> DataFrame:
-    """k1, k2, anchor, n: how many segments of a text have a minimizer, times its copies."""
+    """k1, k2, anchor, segments of the text with that minimizer, n: those of all its copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for k1, k2, text, copies in zip(*(b.column(c) for c in range(4)), strict=True):
                 words = text.as_py().encode().split()
                 if len(words) >= window:
                     found, n = np.unique(minimizers(words, window, part)[0], return_counts=True)
-                    for column, value in zip(out, (np.full(len(found), k1.as_py()), np.full(len(found), k2.as_py()), found, n * copies.as_py()), strict=True):
+                    for column, value in zip(out, (np.full(len(found), k1.as_py()), np.full(len(found), k2.as_py()), found, n, n * copies.as_py()), strict=True):
                         column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["k1", "k2", "anchor", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["k1", "k2", "anchor", "segments", "n"])
 
-    return texts.select("k1", "k2", "text", "copies").mapInArrow(run, schema(k1=LONG, k2=LONG, anchor=LONG, n=LONG))
+    return texts.select("k1", "k2", "text", "copies").mapInArrow(run, schema(k1=LONG, k2=LONG, anchor=LONG, segments=LONG, n=LONG))
 
 
 SEGMENTS = schema(hot=T.BooleanType(), anchor=LONG, k1=LONG, k2=LONG, start=INT, copies=LONG, words=STRING, w1=LONG, w2=LONG)
@@ -274,7 +274,7 @@ def repeats(texts: DataFrame, window: int = WINDOW, part: int = PART, shard: int
     """k1, k2, spans: for each distinct text with any, the word intervals whose windows also start elsewhere."""
     small_batches(texts.sparkSession)
     seen = stored(anchors(texts, window, part), "anchors")
-    often = seen.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where("n > 1").select("anchor", (F.col("texts") > shard).alias("hot"))
+    often = seen.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("segments").alias("segments")).where("n > 1").select("anchor", (F.col("segments") > shard).alias("hot"))
     wanted = seen.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     cut = stored(segments(texts, wanted, window, part), "segments")
     cold = cut.where("not hot").select("anchor", "k1", "k2", "start", "copies", "words")
