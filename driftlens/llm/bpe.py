@@ -8,7 +8,8 @@ apart when their symbols are merged; that test is by pair and is remembered.
 
 ``Bpe`` reads a tokenizer of the tokenizers library whose model is a BPE with word ends. Texts are cut at
 spaces and line feeds, which its normaliser makes equal and its pre-tokenizer drops; the library's own normaliser and
-pre-tokenizer see each distinct piece once.
+pre-tokenizer see each distinct piece once (a pattern does their work on printable ASCII). It expects the normaliser and
+pattern of the vocabulary file ``word_bpe_49k.json`` and refuses others.
 
 Defined cases: null text is empty and has no ids; the strings of special tokens in a text are those tokens, as in
 the library; rows pass whatever their id; repeated rows give repeated results; an empty table an empty table.
@@ -24,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftlens.llm.common import BINARY, LONG, STRING, apart, at, text_mapped
+from driftlens.llm.common import BINARY, LONG, STRING, Recent, apart, at, text_mapped
 
-#: Distinct pieces that a worker remembers, and remembered pair tests; beyond it starts anew.
-MOST_PIECES = 300_000
+#: Distinct pieces that a worker remembers, and remembered pair tests.
+MOST_PIECES = 700_000
 MOST_PAIRS = 1_000_000
 #: Longer pieces are encoded but not remembered.
 LONGEST_PIECE = 200
+#: Fixed value: the word pattern of the tokenizers that this reads.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What the library's normaliser and pre-tokenizer leave of printable ASCII, where letters are a-z once lower-cased.
+PRINTABLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class Bpe:
@@ -39,6 +44,9 @@ class Bpe:
         self.library.no_padding()
         self.library.no_truncation()
         j = json.loads(spec)
+        cuts = [x.get("pattern", {}).get("Regex") for x in (j["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if PATTERN not in cuts or "Lowercase" not in [x["type"] for x in (j["normalizer"] or {}).get("normalizers", [])]:
+            raise ValueError("not a tokenizer with lower-cased words and word ends")
         self.vocab: dict[str, int] = j["model"]["vocab"]
         self.end: str = j["model"]["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
@@ -54,7 +62,7 @@ class Bpe:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.pieces = Recent(MOST_PIECES)
 
     def symbols(self, token: str) -> list[str]:
         """The characters a token starts from; a word end belongs to the last."""
@@ -138,15 +146,15 @@ class Bpe:
                 return token
         raise ValueError(f"no token ends {text[:d]!r}")
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, str]]:
+    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, str]]:
         """Ids (32-bit little-endian) and decoded text of pieces."""
         normal, cut = self.library.normalizer, self.library.pre_tokenizer
-        split = {p: [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(p) if normal else p) if w] for p in pieces}
+        split = {p: PRINTABLE.findall(p.lower()) if p.isascii() and p.isprintable() else [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(p)) if w] for p in pieces}
         tokens = self.words({w for ws in split.values() for w in ws})
         out = {}
         for p, ws in split.items():
-            own = [t for w in ws for t in tokens[w]]
-            out[p] = (np.array([self.vocab[t] for t in own], "<u4").tobytes(), " ".join(own))
+            ids = [self.vocab[t] for w in ws for t in tokens[w]]
+            out[p] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -155,10 +163,8 @@ class Bpe:
         for text in texts:
             sections = self.cut.split(text) if self.cut else [text]
             cuts.append([(s, None) if k % 2 else (s, s.replace("\n", " ").split(" ")) for k, s in enumerate(sections)])
-        if len(self.pieces) >= MOST_PIECES:
-            self.pieces = {}
-        known = self.pieces
-        new = {p for c in cuts for _, ps in c if ps for p in set(ps) if p not in known}
+        new = self.pieces.wanting({p for c in cuts for _, ps in c if ps for p in ps})
+        known = self.pieces.young
         fresh = self.learn(new)
         long = {p: fresh[p] for p in new if len(p) > LONGEST_PIECE}
         known.update(fresh)
@@ -172,9 +178,9 @@ class Bpe:
             del known[p]
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) without a decoder: tokens joined by spaces."""
-        return " ".join([self.name[i] for i in ids.tolist()])
+        return " ".join([self.name[i] for i in ids])
 
 
 _READY: dict[int, Bpe] = {}
@@ -192,7 +198,7 @@ def ready(spec: str) -> Bpe:
 def encoded(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -> DataFrame:
     """The documents with n_tokens, ids (binary, 32-bit little-endian) and decoded. tokenizer: path of its file.
 
-    decoded is read from the ids' tokens, piece by piece as they were learnt.
+    decoded is decoded from the ids of each piece, the pieces' texts joined by spaces as tokens are.
     """
     with open(tokenizer, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())

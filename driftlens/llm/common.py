@@ -124,3 +124,23 @@ def text_mapped(df: DataFrame, text: str, make, fields: dict[str, T.DataType], k
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *(pa.array(v, t) for v, t in zip(new, kinds, strict=True))], names=out.names)
 
     return df.mapInArrow(run, out)
+
+
+class Recent:
+    """Values of recently used keys: at most ``most`` in two generations; the older one goes when the younger is full."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def wanting(self, keys: set) -> list:
+        """Those keys whose values are not known; the others are in ``young`` until the next call."""
+        if len(self.young) >= self.most // 2:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
