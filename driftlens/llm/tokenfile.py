@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftlens.llm.common import BINARY, INT, LONG, documents, schema, scratch, small_batches, stored, text_mapped
+from driftlens.llm.common import BINARY, INT, LONG, Recent, documents, schema, scratch, small_batches, stored, text_mapped
 
 LIMIT = 16
 BLOCK = 512
 SEGMENT = 500_000
-#: Distinct pieces that a worker remembers; beyond it starts anew. Longer pieces are not remembered.
-MOST_PIECES = 300_000
+#: Distinct pieces that a worker remembers; longer pieces are not remembered.
+MOST_PIECES = 1_000_000
 LONGEST_PIECE = 200
 DOUBLE_SPACE = re.compile(r"\s\s")
 SAFE_SPACE = re.compile(r" (?=\S)")
@@ -58,10 +59,11 @@ class Ids:
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.type = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Recent(MOST_PIECES)
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        code = "H" if self.type == "<u2" else "I"
+        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def cut(self, text: str) -> list[str]:
         parts = SAFE_SPACE.split(text) if DOUBLE_SPACE.search(text) else text.replace("\n", " \n").split(" ")
@@ -69,11 +71,9 @@ class Ids:
         return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) >= MOST_PIECES:
-            self.pieces = {}
-        known = self.pieces
         cuts = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        new = list({p for c in cuts if c for p in set(c) if p not in known})
+        new = self.pieces.wanting({p for c in cuts if c for p in c})
+        known = self.pieces.young
         known.update(zip(new, self.raw([p[2:] if p.startswith("\n\n") else p if p.startswith("\n") else " " + p for p in new]), strict=True))
         out = [self.raw([t])[0] if c is None else b"".join([known[p] for p in c]) for t, c in zip(texts, cuts, strict=True)]
         for p in new:
