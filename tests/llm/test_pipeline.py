@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import helpers as H  # noqa: E402
-from test_operators import jaccard_groups  # noqa: E402
+from test_llm_operators import jaccard_groups  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from driftlens.llm import quality  # noqa: E402
