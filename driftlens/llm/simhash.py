@@ -11,7 +11,8 @@ brings the shard together, not by the driver: a broadcast would gather all docum
 ``components`` joins the stars by alternating large-star and small-star steps, each a stored table.
 
 ``near_duplicates`` finds pairs of a given Jaccard similarity: shards are the smallest shingle hashes that documents
-share, trees link candidates within a wide radius, and exact shingle sets decide inside each candidate group.
+share, trees link candidates within a wide radius, an upper bound of the shingles in common links the pairs beyond it
+that may be similar, and exact shingle sets decide inside each candidate group.
 
 Defined cases: null and empty texts, and texts of white space, have no words and fingerprint zero, linked like any
 other; texts with fewer words than a shingle are one shingle; repeated rows each get a row; a null doc_id never is a
@@ -20,7 +21,7 @@ component's smallest unless it has no other; an empty table gives an empty table
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import groupby, repeat
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from driftlens.llm.common import LONG, at, documents, schema, small_batches, stored, text_mapped
+from driftlens.llm.common import BINARY, LONG, at, documents, schema, small_batches, stored, text_mapped
 
 WORDS = 3
 RADIUS = 2
@@ -40,14 +41,16 @@ SHARD = 1024
 #: Shingles hashed at once.
 PIECE = 1 << 16
 
-#: Near-duplicates of the pipeline: shingle words, least Jaccard similarity, and the reach of the search. At
-#: similarity 0.8 fingerprints differ in 10 bits on average (deviation 3), and two bottom-8 sketches share no value with
-#: a probability below 0.2 ** 8.
+#: Near-duplicates of the pipeline: shingle words, least Jaccard similarity, and the reach of the trees, beyond which
+#: a bound on the shingles in common decides. Two bottom-8 sketches at similarity 0.8 share no value with a probability
+#: below 0.2 ** 8.
 NEAR_WORDS = 5
 SIMILARITY = 0.8
 NEAR_RADIUS = 20
 SKETCH = 8
 DEPTH = 4
+#: Buckets in which a document's distinct shingles are counted by their hash.
+BUCKETS = 256
 #: Documents that a verifying task holds twice at most.
 BLOCK = 512
 
@@ -132,7 +135,7 @@ def stars(members: list[tuple[int, int]], radius: int) -> Iterator[tuple[int, in
             yield name, members[r][0]
 
 
-def shard_links(radius: int, search: Callable = stars):
+def shard_links(radius: int):
     """Links of sorted rows (key columns, name, fp), a shard at a time."""
 
     def rows(batches):
@@ -145,7 +148,7 @@ def shard_links(radius: int, search: Callable = stars):
         for _, group in groupby(rows(batches), key=lambda r: r[0]):
             members = [(name, fp) for _, name, fp in group]
             if len(members) > 1:
-                for a, b in search(members, radius):
+                for a, b in stars(members, radius):
                     left.append(a)
                     right.append(b)
             if len(left) > 10_000:
@@ -242,38 +245,79 @@ def judged(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFra
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """row, fp, sketch (smallest shingle hashes, ascending) for documents with columns row and text."""
-
-    def one(text: bytes | None) -> tuple[int, list[int]]:
-        ones, n, least = np.zeros(64, np.int64), 0, np.zeros(0, np.uint64)
-        for got in shingles(text, words):
-            h = np.array(got, "<u8")
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            n += len(h)
-            least = np.unique(np.concatenate([least, h]))[:SKETCH]
-        fp = int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]) if n else 0
-        return fp, least.view(np.int64).tolist()
+    """row, fp, n, counts, sketch for documents with columns row and text, all of the set of distinct shingles.
+
+    n: their number; counts: how many fall in each bucket of the hash, a byte a bucket, 255 at most; sketch: the smallest
+    hashes, ascending.
+    """
+
+    def one(text: bytes | None) -> tuple[int, int, bytes, list[int]]:
+        h = np.array(sorted({x for got in shingles(text, words) for x in got}), "<u8")
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(h), PIECE):
+            ones += np.unpackbits(h[k : k + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        fp = int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]) if len(h) else 0
+        counts = np.minimum(np.bincount((h % BUCKETS).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+        return fp, len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist()
 
     def make():
-        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [])
+        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [], [])
+
+    return text_mapped(docs, "text", make, {"fp": LONG, "n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG)}, ["row"])
+
 
-    return text_mapped(docs, "text", make, {"fp": LONG, "sketch": T.ArrayType(LONG)}, ["row"])
+def may_be_similar(counts: np.ndarray, n: np.ndarray, k: int, low: int, least: float) -> np.ndarray:
+    """Which of low..k-1 may have the least similarity to k. No two sets share more than the smaller count of each bucket."""
+    over = n - counts.sum(1, dtype=np.int64)  # what counts of 255 leave out
+    most = np.minimum(counts[low:k], counts[k]).sum(1, dtype=np.int64) + np.minimum(over[low:k], over[k])
+    return (1 + least) * most >= least * (n[low:k] + n[k]) - 1e-6
 
 
-def wide_stars(members: list[tuple[int, int]], radius: int) -> Iterator[tuple[int, int]]:
-    """Within SHARD members a tree decides; beyond, all are candidates of one group."""
-    if len(members) <= SHARD:
-        yield from stars(members, radius)
-    else:
-        yield from ((name, members[0][0]) for name, _ in members[1:])
+def wide_stars(radius: int, least: float):
+    """Links of rows (key, row, fp, n, counts) sorted by key, a shard at a time: a star for each connected part.
+
+    Within SHARD members a tree links what is within the radius, and the bound links, among all the rest, whatever may be
+    of the least similarity; beyond, all are candidates of one group.
+    """
+
+    def rows(batches):
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(rows(batches), key=lambda r: r[0]):
+            members = sorted((m[1:] for m in group), key=lambda m: (m[2], m[0]))
+            if len(members) < 2:
+                continue
+            if len(members) <= SHARD:
+                names = [m[0] for m in members]
+                place = {name: k for k, name in enumerate(names)}
+                parent = list(range(len(names)))
+                for a, b in stars([m[:2] for m in members], radius):
+                    parent[place[a]] = place[b]
+                n = np.array([m[2] for m in members], np.int64)
+                counts = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(len(members), -1)
+                low = 0
+                for k in range(len(members)):
+                    while n[low] < least * n[k]:
+                        low += 1
+                    for m in (low + np.flatnonzero(may_be_similar(counts, n, k, low, least))).tolist():
+                        if (a := root(parent, m)) != (b := root(parent, k)):
+                            parent[max(a, b)] = min(a, b)
+                links = [(name, names[r]) for k, name in enumerate(names) if (r := root(parent, k)) != k]
+            else:
+                links = [(m[0], members[0][0]) for m in members[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)] or [pa.array([], pa.int64())] * 2, names=["a", "b"])
+
+    return run
 
 
-def candidates(sketches: DataFrame, radius: int) -> DataFrame:
-    """Links between documents that share sketch values and have near fingerprints.
+def candidates(sketches: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links between documents that share sketch values and may be of the least similarity.
 
     A value that more than SHARD documents share is joined with each later one of a document's values, DEPTH times at most.
     """
-    rows = sketches.select("row", "fp", "sketch", F.posexplode("sketch").alias("pos", "key"))
+    rows = sketches.select("row", "fp", "n", "counts", "sketch", F.posexplode("sketch").alias("pos", "key"))
     done = []
     for depth in range(DEPTH):
         if depth == DEPTH - 1:
@@ -282,11 +326,11 @@ def candidates(sketches: DataFrame, radius: int) -> DataFrame:
         if hot.isEmpty():
             break
         rows = stored(rows, "sketch-shards")
-        done.append(rows.join(hot, "key", "left_anti").select("key", "row", "fp"))
-        more = rows.join(hot, "key", "left_semi").select("row", "fp", "sketch", "pos", "key", F.posexplode("sketch").alias("p", "v")).where("p > pos")
-        rows = more.select("row", "fp", "sketch", F.col("p").alias("pos"), F.xxhash64("key", "v").alias("key"))
-    rows = union([*done, rows.select("key", "row", "fp")])
-    return rows.repartition("key").sortWithinPartitions("key", "fp", "row").mapInArrow(shard_links(radius, wide_stars), schema(a=LONG, b=LONG))
+        done.append(rows.join(hot, "key", "left_anti").select("key", "row", "fp", "n", "counts"))
+        more = rows.join(hot, "key", "left_semi").select("row", "fp", "n", "counts", "sketch", "pos", "key", F.posexplode("sketch").alias("p", "v")).where("p > pos")
+        rows = more.select("row", "fp", "n", "counts", "sketch", F.col("p").alias("pos"), F.xxhash64("key", "v").alias("key"))
+    rows = union([*done, rows.select("key", "row", "fp", "n", "counts")])
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(wide_stars(radius, least), schema(a=LONG, b=LONG))
 
 
 def similar(own: set[int], other: set[int], least: float) -> bool:
@@ -337,7 +381,7 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIM
     named = stored(docs.select("row", F.sha2(F.encode(normal, "UTF-8"), 256).alias("words")), "equal-words")
     first = stored(named.groupBy("words").agg(F.min("row").alias("row"), F.count("*").alias("n")), "distinct-words")
     sketches = stored(sketched(docs.select("row", "text"), words), "all-sketches").join(first.select("row"), "row", "left_semi")
-    groups = components(candidates(sketches, radius))
+    groups = components(candidates(sketches, radius, least))
     whole = stored(groups.select(F.col("node").alias("row"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("row"), F.col("root").alias("group")).distinct()), "candidate-groups")
     sizes = whole.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # Documents of a group in blocks; a task gets two blocks, and together the tasks have every pair of blocks.

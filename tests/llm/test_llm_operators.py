@@ -86,6 +86,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.one_of_each(H.empty(spark)).count() == 0
 
 
+def test_near_copies_with_a_repeated_line(spark):
+    made = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(204)]
+        line = [f"l{k}x{i}" for i in range(10)]
+        made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + 10 * line))]
+    assert len(set(jaccard_groups(made))) == 20
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == list(range(0, 40, 2))
+
+
 # 2: chat.
 
 
