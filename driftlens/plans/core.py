@@ -44,7 +44,7 @@ def register(name: str, needs: tuple[str, ...], sql: str | None = None):
 
 @register("reading_order", ("defines", "uses"))
 def _(defines, uses):
-    edges = symbols.edges(defines, uses).where("abs(src - dst) < 400")
+    edges = symbols.edges(defines, uses)
     half = lambda c: F.floor(F.col(c) / 1000).cast("long")
     nodes = defines.unionByName(uses).groupBy("grp").agg(F.min("file").alias("file"))
     nodes = nodes.select(half("grp").alias("review"), F.col("grp").alias("node"), (F.col("grp") % 3).alias("priority"), F.col("file").cast("long").alias("file"), F.col("grp").alias("row_no"))
