@@ -64,6 +64,13 @@ FROM (SELECT symbol, min(grp) AS grp FROM defines GROUP BY symbol HAVING count(*
 WHERE d.grp < u.grp AND u.grp - d.grp < 400
 """
 
+# The same at any distance.
+BINDINGS["whole_dag"] = """
+SELECT DISTINCT d.grp AS src, u.grp AS dst
+FROM (SELECT symbol, min(grp) AS grp FROM defines GROUP BY symbol HAVING count(*) = 1) d JOIN uses u ON d.symbol = u.symbol
+WHERE d.grp < u.grp
+"""
+
 BINDINGS["history"] = """
 SELECT o_orderkey AS sha, o_orderdate AS at_time, o_orderpriority AS subject, l_partkey AS path
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
@@ -75,7 +82,7 @@ SELECT d.doc_id AS key, d.lang AS stratum, d.source AS repo, l.quality AS label,
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """
 
-NEEDS = {"dag": ("defines", "uses")}
+NEEDS = {"dag": ("defines", "uses"), "whole_dag": ("defines", "uses")}
 
 
 def parts(names: tuple[str, ...]) -> list[str]:

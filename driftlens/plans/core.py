@@ -325,11 +325,13 @@ def _(history):
     return report.file_history(history, "1998-01-01")
 
 
+@register("whole_degrees", ("whole_dag",))
 @register("degrees", ("dag",), "SELECT node, CAST(sum(o) AS BIGINT) AS edges_out, CAST(sum(i) AS BIGINT) AS edges_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM dag UNION ALL SELECT dst, 0, 1 FROM dag) x GROUP BY node")
 def _(dag):
     return report.degrees(dag)
 
 
+@register("whole_review_coverage", ("whole_dag", "orders"))
 @register("review_coverage", ("dag", "orders"), """
 WITH m AS (SELECT o_orderkey AS node, o_orderdate AS at FROM orders WHERE o_orderstatus <> 'P')
 SELECT count(*) AS edges, count(*) FILTER (s.at IS NOT NULL AND d.at IS NOT NULL) AS reviewed, count(*) FILTER (d.at IS NOT NULL AND (s.at IS NULL OR s.at > d.at)) AS out_of_order
@@ -442,7 +444,12 @@ def _(documents, benchmark):
     return report.bm25(documents.select(F.col("doc_id").alias("id"), "text"), benchmark.select(F.col("item_id").alias("query"), "text"))
 
 
-# Graphs.
+# Graphs. Queries named whole_ run on all rows; those of the plain names run on what their SQL can follow in time.
+
+
+@register("whole_clusters", ("whole_dag",))
+def _(dag):
+    return graph.components(dag)
 
 
 @register("clusters", ("dag",), """
@@ -465,6 +472,7 @@ def _(dag):
     return graph.closure(turned, turned.where("src % 10 = 0").select(F.col("src").alias("start")).dropDuplicates())
 
 
+@register("whole_dependency_levels", ("whole_dag",))
 @register("dependency_levels", ("dag",), "WITH RECURSIVE r(node, level) AS (SELECT src, 0 FROM dag UNION SELECT d.dst, r.level + 1 FROM r JOIN dag d ON d.src = r.node) SELECT node, max(level) AS level FROM r GROUP BY node")
 def _(dag):
     return graph.levels(dag)

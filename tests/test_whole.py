@@ -42,3 +42,52 @@ def test_reading_order_puts_definitions_first(spark):
     inside = [(a, b) for a, b in edges if a < b and a // 1000 == b // 1000 and b - a >= 400]
     back = {(b, a) for a, b in edges}
     assert inside and all(place[a] < place[b] for a, b in inside if not back & {(a, b)})
+
+
+def whole_edges(spark):
+    defines, uses = (bindings.load(spark, SF, n).collect() for n in ("defines", "uses"))
+    by = {}
+    for d in defines:
+        by.setdefault(d["symbol"], []).append(d["grp"])
+    return {(by[u["symbol"]][0], u["grp"]) for u in uses if len(by.get(u["symbol"], ())) == 1 and by[u["symbol"]][0] < u["grp"]}
+
+
+def got(spark, name, sf=SF):
+    return {tuple(r) for r in QUERIES[name](spark, sf).collect()}
+
+
+def reach(edges):
+    """node -> all that it leads to."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    found = {}
+    for a in out:
+        open_, seen = [a], set()
+        while open_:
+            for b in out.get(open_.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    open_.append(b)
+        found[a] = seen
+    return found
+
+
+def test_whole_clusters(spark):
+    edges = whole_edges(spark)
+    assert any(b - a >= 400 for a, b in edges)
+    both = reach(edges | {(b, a) for a, b in edges})
+    assert got(spark, "whole_clusters") == {(a, min(r | {a})) for a, r in both.items()}
+
+
+def test_whole_degrees_levels_and_coverage(spark):
+    edges = whole_edges(spark)
+    nodes = {x for e in edges for x in e}
+    assert got(spark, "whole_degrees") == {(x, sum(a == x for a, _ in edges), sum(b == x for _, b in edges)) for x in nodes}
+    level = {}
+    for x in sorted(nodes):
+        level[x] = max((level[a] + 1 for a, b in edges if b == x), default=0)
+    assert got(spark, "whole_dependency_levels") == set(level.items())
+    at = {r["o_orderkey"]: r["o_orderdate"] for r in bindings.load(spark, SF, "orders").where("o_orderstatus <> 'P'").collect()}
+    out_of_order = sum(b in at and (a not in at or at[a] > at[b]) for a, b in edges)
+    assert got(spark, "whole_review_coverage") == {(len(edges), sum(a in at and b in at for a, b in edges), out_of_order)}
