@@ -199,14 +199,23 @@ def _(old, new):
     return symbols.changes(old, new)
 
 
+def moved(lineitem: DataFrame, old: str = "true", new: str = "true") -> DataFrame:
+    x = lineitem.select((F.col("l_suppkey") % 50).alias("file"), F.col("l_partkey").alias("name"), (F.col("l_partkey") % 7).alias("body"), "l_linestatus", "l_orderkey")
+    return symbols.moves(x.where(f"l_linestatus = 'O' and {old}"), x.where(f"l_linestatus <> 'O' and {new}"))
+
+
+@register("whole_moves", ("lineitem",))
+def _(lineitem):
+    return moved(lineitem)
+
+
 @register("moves", ("lineitem",), """
 WITH o AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey AS name, l_partkey % 7 AS body FROM lineitem WHERE l_linestatus = 'O' AND l_partkey % 3 = 0),
 n AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey AS name, l_partkey % 7 AS body FROM lineitem WHERE l_linestatus <> 'O' AND l_orderkey % 9 = 0),
 g AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name)), c AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.file = o.file AND n.name = o.name))
 SELECT g.file, g.name, g.body, min(c.file) AS target FROM g JOIN c ON g.name = c.name AND g.body = c.body AND g.file <> c.file GROUP BY ALL HAVING count(DISTINCT c.file) = 1""")
 def _(lineitem):
-    x = lineitem.select((F.col("l_suppkey") % 50).alias("file"), F.col("l_partkey").alias("name"), (F.col("l_partkey") % 7).alias("body"), "l_linestatus", "l_orderkey")
-    return symbols.moves(x.where("l_linestatus = 'O' and name % 3 = 0"), x.where("l_linestatus <> 'O' and l_orderkey % 9 = 0"))
+    return moved(lineitem, "name % 3 = 0", "l_orderkey % 9 = 0")
 
 
 def flat(sql: str) -> str:
@@ -461,6 +470,17 @@ def _(dag):
 ORACLE_SQL["clusters"] = ORACLE_SQL["clusters"].replace("SELECT src AS a, dst AS b FROM dag UNION SELECT dst, src FROM dag", "SELECT src AS a, dst AS b FROM dag WHERE src < 4000 UNION SELECT dst, src FROM dag WHERE src < 4000")
 
 
+@register("whole_downstream_closure", ("whole_dag",))
+def _(dag):
+    return graph.closure(dag, dag.select(F.col("src").alias("start")).dropDuplicates())
+
+
+@register("whole_upstream_closure", ("whole_dag",))
+def _(dag):
+    turned = dag.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.closure(turned, turned.select(F.col("src").alias("start")).dropDuplicates())
+
+
 @register("downstream_closure", ("dag",), "WITH RECURSIVE r(start, node) AS (SELECT src, dst FROM dag WHERE src % 10 = 0 UNION SELECT r.start, d.dst FROM r JOIN dag d ON d.src = r.node) SELECT DISTINCT start, node FROM r")
 def _(dag):
     return graph.closure(dag, dag.where("src % 10 = 0").select(F.col("src").alias("start")).dropDuplicates())

@@ -72,14 +72,23 @@ def _(old, new):
     return contract.overrides_left(callables(old), callables(new), subs)
 
 
+def unimplemented(x: DataFrame, bases: str = "true", owners: str = "true") -> DataFrame:
+    name = (F.col("l_partkey") % 50).alias("name")
+    a = x.where(f"l_linenumber = 1 and {bases}").select(F.col("l_suppkey").alias("base"), name).dropDuplicates()
+    s = x.where(f"l_linenumber = 2 and {owners}").select(F.col("l_suppkey").alias("base"), F.col("l_orderkey").alias("owner")).dropDuplicates()
+    return contract.unimplemented(a, s, x.select(F.col("l_orderkey").alias("owner"), name))
+
+
+@register("whole_unimplemented_abstract", ("lineitem",))
+def _(x):
+    return unimplemented(x)
+
+
 @register("unimplemented_abstract", ("lineitem",), """
 WITH a AS (SELECT DISTINCT l_suppkey AS base, l_partkey % 50 AS name FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0), s AS (SELECT DISTINCT l_suppkey AS base, l_orderkey AS owner FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 7 = 0), m AS (SELECT DISTINCT l_orderkey AS owner, l_partkey % 50 AS name FROM lineitem)
 SELECT a.base, s.owner, a.name FROM a JOIN s ON a.base = s.base WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.owner = s.owner AND m.name = a.name)""")
 def _(x):
-    name = (F.col("l_partkey") % 50).alias("name")
-    a = x.where("l_linenumber = 1 and l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("base"), name).dropDuplicates()
-    s = x.where("l_linenumber = 2 and l_orderkey % 7 = 0").select(F.col("l_suppkey").alias("base"), F.col("l_orderkey").alias("owner")).dropDuplicates()
-    return contract.unimplemented(a, s, x.select(F.col("l_orderkey").alias("owner"), name))
+    return unimplemented(x, "l_orderkey % 50 = 0", "l_orderkey % 7 = 0")
 
 
 @register("enum_values_changed", ("customer",), """
@@ -230,7 +239,7 @@ def _(lineitem):
 
 @register("whole_review", ("lineitem",))
 def _(lineitem):
-    m = modules(lineitem.where("l_orderkey % 50 = 0"))
+    m = modules(lineitem)
     place = F.row_number().over(Window.partitionBy("review").orderBy("file")).cast("long") - 1
     old = F.regexp_replace("text", r"g(\d)", r"h$1")
     changes = m.select("review", place.alias("file"), F.concat(F.lit("src/m"), F.col("file").cast("string"), F.lit(".py")).alias("path"), old.alias("old"), F.col("text").alias("new"))
@@ -279,13 +288,22 @@ def _(lineitem):
 # Recurring edits, features, labels from later fixes.
 
 
+def repeated_edits(lineitem: DataFrame) -> DataFrame:
+    x = lineitem.select(F.col("l_orderkey").alias("node"), F.col("l_orderkey").alias("home"), F.concat(F.lit("edit number "), F.col("l_partkey").cast("string")).alias("edit")).dropDuplicates()
+    return edits.same_edits(x)
+
+
+@register("whole_same_edits", ("lineitem",))
+def _(lineitem):
+    return repeated_edits(lineitem)
+
+
 @register("same_edits", ("lineitem",), """
 WITH RECURSIVE h AS (SELECT DISTINCT l_orderkey AS node, l_orderkey % 5 AS home, 'edit number ' || l_partkey AS edit FROM lineitem WHERE l_orderkey % 20 = 0),
 f AS (SELECT edit, min(node) AS first FROM h GROUP BY edit HAVING count(DISTINCT home) >= 1), e AS (SELECT DISTINCT first AS a, node AS b FROM h JOIN f USING (edit) WHERE node <> first),
 b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node WHERE r.root < b.b) SELECT node, min(root) AS cluster FROM r GROUP BY node""")
 def _(lineitem):
-    x = lineitem.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("node"), F.col("l_orderkey").alias("home"), F.concat(F.lit("edit number "), F.col("l_partkey").cast("string")).alias("edit")).dropDuplicates()
-    return edits.same_edits(x)
+    return repeated_edits(lineitem.where("l_orderkey % 20 = 0"))
 
 
 @register("feature_vector", ("hunks",), """
@@ -351,13 +369,33 @@ def _(defines, uses):
     return symbols.own_bound(uses, defines, uses.where("grp % 3 = 0")).select("grp", "file", "symbol")
 
 
+def related(dag: DataFrame, low: DataFrame) -> DataFrame:
+    pairs = low.select(F.col("src").alias("a"), (F.col("src") + 100).alias("b")).union(low.select("dst", "src")).dropDuplicates()
+    return symbols.relation(pairs, graph.closure(dag, low.select(F.col("src").alias("start")).dropDuplicates()))
+
+
+@register("whole_pair_relation", ("whole_dag",))
+def _(dag):
+    return related(dag, dag)
+
+
 @register("pair_relation", ("dag",), """
 WITH RECURSIVE r(start, node) AS (SELECT src, dst FROM dag WHERE src < 3000 UNION SELECT r.start, d.dst FROM r JOIN dag d ON d.src = r.node), p AS (SELECT DISTINCT src AS a, src + 100 AS b FROM dag WHERE src < 3000 UNION SELECT dst, src FROM dag WHERE src < 3000)
 SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM r WHERE start = a AND node = b) THEN 'before' WHEN EXISTS (SELECT 1 FROM r WHERE start = b AND node = a) THEN 'after' ELSE 'free' END AS relation FROM p""")
 def _(dag):
-    low = dag.where("src < 3000")
-    pairs = low.select(F.col("src").alias("a"), (F.col("src") + 100).alias("b")).union(low.select("dst", "src")).dropDuplicates()
-    return symbols.relation(pairs, graph.closure(dag, low.select(F.col("src").alias("start")).dropDuplicates()))
+    return related(dag, dag.where("src < 3000"))
+
+
+def extracted(x: DataFrame, new: str = "true") -> DataFrame:
+    file, line = (F.col("l_suppkey") % 20).alias("file"), (F.col("l_partkey") % 60).alias("line")
+    old = x.where("l_returnflag = 'A'").select(file, F.col("l_linenumber").alias("name"), line).dropDuplicates()
+    name = F.col("l_linenumber") + F.when(F.col("l_orderkey") % 2 == 0, 10).otherwise(0)
+    return symbols.extractions(old, x.where(f"l_returnflag = 'R' and {new}").select(file, name.alias("name"), line).dropDuplicates())
+
+
+@register("whole_extractions", ("lineitem",))
+def _(x):
+    return extracted(x)
 
 
 @register("extractions", ("lineitem",), """
@@ -366,10 +404,7 @@ a AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file = n.file AN
 l AS (SELECT DISTINCT file, line, name AS source FROM o WHERE EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name) AND NOT EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name AND n.line = o.line)),
 s AS (SELECT a.file, a.name, l.source, count(DISTINCT a.line) AS shared FROM a JOIN l ON l.file = a.file AND l.line = a.line GROUP BY ALL) SELECT s.file, s.name, first(source ORDER BY shared DESC, source) AS source, max(shared) AS shared FROM s JOIN z ON z.file = s.file AND z.name = s.name WHERE shared >= 3 AND 2 * shared >= size GROUP BY ALL""")
 def _(x):
-    file, line = (F.col("l_suppkey") % 20).alias("file"), (F.col("l_partkey") % 60).alias("line")
-    old = x.where("l_returnflag = 'A'").select(file, F.col("l_linenumber").alias("name"), line).dropDuplicates()
-    name = F.col("l_linenumber") + F.when(F.col("l_orderkey") % 2 == 0, 10).otherwise(0)
-    return symbols.extractions(old, x.where("l_returnflag = 'R' and l_orderkey % 8 < 2").select(file, name.alias("name"), line).dropDuplicates())
+    return extracted(x, "l_orderkey % 8 < 2")
 
 
 # State over time.

@@ -91,3 +91,65 @@ def test_whole_degrees_levels_and_coverage(spark):
     at = {r["o_orderkey"]: r["o_orderdate"] for r in bindings.load(spark, SF, "orders").where("o_orderstatus <> 'P'").collect()}
     out_of_order = sum(b in at and (a not in at or at[a] > at[b]) for a, b in edges)
     assert got(spark, "whole_review_coverage") == {(len(edges), sum(a in at and b in at for a, b in edges), out_of_order)}
+
+
+def test_whole_closures_and_pair_relation(spark):
+    edges = whole_edges(spark)
+    down = reach(edges)
+    assert any(a % 10 for a in down)
+    assert got(spark, "whole_downstream_closure") == {(a, b) for a, r in down.items() for b in r}
+    assert got(spark, "whole_upstream_closure") == {(b, a) for a, r in down.items() for b in r}
+    pairs = {(a, a + 100) for a, _ in edges} | {(b, a) for a, b in edges}
+    said = lambda a, b: "before" if b in down.get(a, ()) else "after" if a in down.get(b, ()) else "free"
+    assert got(spark, "whole_pair_relation") == {(a, b, said(a, b)) for a, b in pairs}
+
+
+def test_whole_review_has_every_change(spark):
+    x = bindings.load(spark, SF, "lineitem").select("l_orderkey").distinct().count()
+    assert QUERIES["whole_review"](spark, SF).select("review", "file").distinct().count() == x
+
+
+def test_whole_tables_of_lines(spark):
+    x = bindings.load(spark, SF, "lineitem").collect()
+    key = lambda r: (r["l_suppkey"] % 50, r["l_partkey"])
+    was, now = ({key(r) for r in x if (r["l_linestatus"] == "O") == old} for old in (True, False))
+    came = {}
+    for file, name in now - was:
+        came.setdefault(name, set()).add(file)
+    found = {(f, n, n % 7, *(came.get(n, set()) - {f})) for f, n in was - now if len(came.get(n, set()) - {f}) == 1}
+    assert got(spark, "whole_moves") == found
+
+    methods = {(r["l_orderkey"], r["l_partkey"] % 50) for r in x}
+    abstract = {(r["l_suppkey"], r["l_partkey"] % 50) for r in x if r["l_linenumber"] == 1}
+    subs = {(r["l_suppkey"], r["l_orderkey"]) for r in x if r["l_linenumber"] == 2}
+    by = {}
+    for b, n in abstract:
+        by.setdefault(b, set()).add(n)
+    assert got(spark, "whole_unimplemented_abstract") == {(b, o, n) for b, o in subs for n in by.get(b, ()) if (o, n) not in methods}
+
+    homes = {}
+    for r in x:
+        homes.setdefault(r["l_partkey"], set()).add(r["l_orderkey"])
+    links = {(min(h), o) for h in homes.values() for o in h if o != min(h)}
+    both = reach(links | {(b, a) for a, b in links})
+    assert got(spark, "whole_same_edits") == {(a, min(r | {a})) for a, r in both.items()}
+
+
+def test_whole_extractions(spark):
+    x = bindings.load(spark, SF, "lineitem").collect()
+    old, new = {}, {}
+    for r in x:
+        line = r["l_partkey"] % 60
+        if r["l_returnflag"] == "A":
+            old.setdefault((r["l_suppkey"] % 20, r["l_linenumber"]), set()).add(line)
+        if r["l_returnflag"] == "R":
+            new.setdefault((r["l_suppkey"] % 20, r["l_linenumber"] + (10 if r["l_orderkey"] % 2 == 0 else 0)), set()).add(line)
+    want = set()
+    for (file, name), body in new.items():
+        if (file, name) in old or len(body) < 3:
+            continue
+        gave = sorted((-len(body & (o - new[f, n])), n) for (f, n), o in old.items() if f == file and (f, n) in new)
+        gave = [(-k, n) for k, n in gave if -k >= 3 and -2 * k >= len(body)]
+        if gave:
+            want.add((file, name, gave[0][1], gave[0][0]))
+    assert got(spark, "whole_extractions") == want
