@@ -498,12 +498,21 @@ def _(dag):
     return graph.levels(dag)
 
 
+def cyclic(lineitem: DataFrame, depth: int | None = None) -> DataFrame:
+    e = lineitem.select((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 97).alias("dst")).dropDuplicates()
+    return graph.import_cycles(e, e.where("src > dst"), depth)
+
+
+@register("whole_import_cycles", ("lineitem",))
+def _(lineitem):
+    return cyclic(lineitem)
+
+
 @register("import_cycles", ("lineitem",), """
 WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 97 AS src, l_partkey % 97 AS dst FROM lineitem WHERE l_orderkey % 60 = 0), a AS (SELECT DISTINCT src, dst FROM e WHERE src > dst),
 r(src, dst, pos, k) AS (SELECT src, dst, dst, 1 FROM a UNION SELECT r.src, r.dst, e.dst, r.k + 1 FROM r JOIN e ON e.src = r.pos WHERE r.k < 4) SELECT src, dst, min(k) AS length FROM r WHERE pos = src AND k > 1 GROUP BY src, dst""")
 def _(lineitem):
-    e = lineitem.where("l_orderkey % 60 = 0").select((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 97).alias("dst")).dropDuplicates()
-    return graph.import_cycles(e, e.where("src > dst"), depth=3)
+    return cyclic(lineitem.where("l_orderkey % 60 = 0"), depth=3)
 
 
 # Scores.

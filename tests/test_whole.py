@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.operators import graph
 from driftlens.plans import bindings
 from driftlens.plans.registry import QUERIES
 
@@ -153,3 +154,27 @@ def test_whole_extractions(spark):
         if gave:
             want.add((file, name, gave[0][1], gave[0][0]))
     assert got(spark, "whole_extractions") == want
+
+
+def way_back(edges, a, b):
+    """Edges of the shortest cycle over the edge a to b."""
+    front, seen, k = {b}, set(), 1
+    while front:
+        front, k = {d for s, d in edges if s in front} - seen, k + 1
+        if a in front:
+            return k
+        seen |= front
+
+
+def test_long_import_cycles(spark):
+    edges = [(k, k + 1) for k in range(12)] + [(12, 0), (3, 20), (20, 20), (21, 3)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    found = {tuple(r) for r in graph.import_cycles(df, df).collect()}
+    assert found == {(a, b, k) for a, b in edges if (k := way_back(edges, a, b))} and (12, 0, 13) in found
+    assert graph.import_cycles(df, df.limit(0)).count() == 0
+
+
+def test_whole_import_cycles(spark):
+    x = bindings.load(spark, SF, "lineitem").collect()
+    edges = {(r["l_suppkey"] % 97, r["l_partkey"] % 97) for r in x}
+    assert got(spark, "whole_import_cycles") == {(a, b, k) for a, b in edges if a > b and (k := way_back(edges, a, b))}
