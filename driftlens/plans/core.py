@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions import text
@@ -591,15 +591,24 @@ def _(embeddings):
 # Scalar functions.
 
 
+def named_texts(documents: DataFrame, whole: Column) -> DataFrame:
+    tail = F.when(F.col("doc_id") % 3 == 0, "/__init__.py").otherwise("/a.test.py")
+    x = documents.select("doc_id", F.concat(F.lit("  "), whole, F.lit(" ")).alias("t"), F.concat("source", F.lit("/pkg/mod_"), (F.col("doc_id") % 5).cast("string"), tail).alias("p"))
+    return x.select("doc_id", text.squeeze(F.col("t")).alias("squeezed"), text.bare_name(F.concat(F.lit("a.b:"), F.col("doc_id").cast("string"))).alias("bare"), text.module_of(F.col("p")).alias("module"), text.path_kind(F.col("p")).alias("kind"))
+
+
 @register("text_functions", ("documents",), r"""
 WITH d AS (SELECT doc_id, '  ' || substr(text, 1, 80) || ' ' AS t, source || '/pkg/mod_' || doc_id % 5 || CASE doc_id % 3 WHEN 0 THEN '/__init__.py' ELSE '/a.test.py' END AS p FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS squeezed, regexp_extract('a.b:' || doc_id, '[^.:]*$', 0) AS bare,
 replace(regexp_replace(regexp_replace(p, '\.[^./]*$', ''), '(^|/)(__init__|index|mod)$', ''), '/', '.') AS module,
 CASE WHEN regexp_matches(p, '[_.](test|spec)\.[^/]*$') THEN 'test' ELSE 'code' END AS kind FROM d""")
 def _(documents):
-    tail = F.when(F.col("doc_id") % 3 == 0, "/__init__.py").otherwise("/a.test.py")
-    x = documents.select("doc_id", F.concat(F.lit("  "), F.substring("text", 1, 80), F.lit(" ")).alias("t"), F.concat("source", F.lit("/pkg/mod_"), (F.col("doc_id") % 5).cast("string"), tail).alias("p"))
-    return x.select("doc_id", text.squeeze(F.col("t")).alias("squeezed"), text.bare_name(F.concat(F.lit("a.b:"), F.col("doc_id").cast("string"))).alias("bare"), text.module_of(F.col("p")).alias("module"), text.path_kind(F.col("p")).alias("kind"))
+    return named_texts(documents, F.substring("text", 1, 80))
+
+
+@register("whole_text_functions", ("documents",), ORACLE_SQL["text_functions"].replace("substr(text, 1, 80)", "text"))
+def _(documents):
+    return named_texts(documents, F.col("text"))
 
 
 @register("path_selection", ("pages",), r"""

@@ -1,5 +1,7 @@
 """Queries run on whole tables: results against brute force."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +180,10 @@ def test_whole_import_cycles(spark):
     x = bindings.load(spark, SF, "lineitem").collect()
     edges = {(r["l_suppkey"] % 97, r["l_partkey"] % 97) for r in x}
     assert got(spark, "whole_import_cycles") == {(a, b, k) for a, b in edges if a > b and (k := way_back(edges, a, b))}
+
+
+def test_whole_text_functions(spark):
+    texts = {r["doc_id"]: r["text"] for r in bindings.load(spark, SF, "documents").collect()}
+    assert max(map(len, texts.values())) > 80
+    want = {d: re.sub(r"[ \t\n\v\f\r]+", " ", t).strip(" ") for d, t in texts.items()}
+    assert {r["doc_id"]: r["squeezed"] for r in QUERIES["whole_text_functions"](spark, SF).collect()} == want
