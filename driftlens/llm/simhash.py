@@ -11,8 +11,8 @@ brings the shard together, not by the driver: a broadcast would gather all docum
 ``components`` joins the stars by alternating large-star and small-star steps, each a stored table.
 
 ``near_duplicates`` finds pairs of a given Jaccard similarity: shards are the smallest shingle hashes that documents
-share, trees link candidates within a wide radius, an upper bound of the shingles in common links the pairs beyond it
-that may be similar, and exact shingle sets decide inside each candidate group.
+share, an upper bound of the shingles in common links the pairs that may be similar, and exact shingle sets decide
+inside each candidate group.
 
 Defined cases: null and empty texts, and texts of white space, have no words and fingerprint zero, linked like any
 other; texts with fewer words than a shingle are one shingle; repeated rows each get a row; a null doc_id never is a
@@ -41,16 +41,11 @@ SHARD = 1024
 #: Shingles hashed at once.
 PIECE = 1 << 16
 
-#: Near-duplicates of the pipeline: shingle words, least Jaccard similarity, and the reach of the trees, beyond which
-#: a bound on the shingles in common decides. Two bottom-8 sketches at similarity 0.8 share no value with a probability
-#: below 0.2 ** 8.
+#: Near-duplicates of the pipeline: shingle words, least Jaccard similarity, and values of a sketch. Two bottom-8 sketches
+#: at similarity 0.8 share no value with a probability below 0.2 ** 8.
 NEAR_WORDS = 5
 SIMILARITY = 0.8
-NEAR_RADIUS = 20
 SKETCH = 8
-DEPTH = 4
-#: Buckets in which a document's distinct shingles are counted by their hash.
-BUCKETS = 256
 #: Documents that a verifying task holds twice at most.
 BLOCK = 512
 
@@ -245,39 +240,63 @@ def judged(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFra
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """row, fp, n, counts, sketch for documents with columns row and text, all of the set of distinct shingles.
+    """row, n, counts, sketch for documents with columns row and text, all of the set of distinct shingles.
 
     n: their number; counts: how many fall in each bucket of the hash, a byte a bucket, 255 at most; sketch: the smallest
-    hashes, ascending.
+    hashes, ascending. There are a quarter to a half as many buckets as shingles, a power of two, 64 at least.
     """
 
-    def one(text: bytes | None) -> tuple[int, int, bytes, list[int]]:
+    def one(text: bytes | None) -> tuple[int, bytes, list[int]]:
         h = np.array(sorted({x for got in shingles(text, words) for x in got}), "<u8")
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), PIECE):
-            ones += np.unpackbits(h[k : k + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        fp = int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]) if len(h) else 0
-        counts = np.minimum(np.bincount((h % BUCKETS).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
-        return fp, len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist()
+        buckets = 1 << max(6, (len(h) // 4).bit_length())
+        counts = np.minimum(np.bincount((h % buckets).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+        return len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist()
 
     def make():
-        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [], [])
+        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [])
 
-    return text_mapped(docs, "text", make, {"fp": LONG, "n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG)}, ["row"])
+    return text_mapped(docs, "text", make, {"n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG)}, ["row"])
 
 
-def may_be_similar(counts: np.ndarray, n: np.ndarray, k: int, low: int, least: float) -> np.ndarray:
-    """Which of low..k-1 may have the least similarity to k. No two sets share more than the smaller count of each bucket."""
-    over = n - counts.sum(1, dtype=np.int64)  # what counts of 255 leave out
-    most = np.minimum(counts[low:k], counts[k]).sum(1, dtype=np.int64) + np.minimum(over[low:k], over[k])
-    return (1 + least) * most >= least * (n[low:k] + n[k]) - 1e-6
+def folded(counts: np.ndarray) -> np.ndarray:
+    """The counts in half as many buckets."""
+    return np.minimum(counts.reshape(2, -1).sum(0, dtype=np.int64), 255).astype(np.uint8)
 
 
-def wide_stars(radius: int, least: float):
-    """Links of rows (key, row, fp, n, counts) sorted by key, a shard at a time: a star for each connected part.
+class Bound:
+    """Counts of members in the order of their n: no two sets share more than the smaller count of each bucket.
 
-    Within SHARD members a tree links what is within the radius, and the bound links, among all the rest, whatever may be
-    of the least similarity; beyond, all are candidates of one group.
+    What a count of 255 leaves out is added as a whole.
+    """
+
+    def __init__(self, n: np.ndarray, counts: list[bytes], least: float):
+        self.n, self.least, self.counts, self.levels = n, least, [np.frombuffer(c, np.uint8) for c in counts], {}
+        for buckets, same in groupby(range(len(counts)), key=lambda k: len(counts[k])):
+            same = list(same)
+            table = np.stack([self.counts[k] for k in same])
+            self.levels[buckets] = same[0], table, n[same] - table.sum(1, dtype=np.int64)
+
+    def similar(self, k: int, low: int) -> list[int]:
+        """Which of low..k-1 may have the least similarity to k; their n must not be below half of k's."""
+        found, mine, high = [], self.counts[k], k
+        while low < high:
+            if len(mine) in self.levels:
+                first, table, over = self.levels[len(mine)]
+                begin = max(low, first)
+                most = np.minimum(table[begin - first : high - first], mine).sum(1, dtype=np.int64)
+                most += np.minimum(over[begin - first : high - first], self.n[k] - mine.sum(dtype=np.int64))
+                fits = (1 + self.least) * most >= self.least * (self.n[begin:high] + self.n[k]) - 1e-6
+                found += (begin + np.flatnonzero(fits)).tolist()
+                high = begin
+            mine = folded(mine)
+        return found
+
+
+def bounded_stars(least: float):
+    """Links of rows (key, i, j, block, row, n, counts) sorted by the first three: blocks i and j of a shard.
+
+    The bound links whatever may be of the least similarity; a star for each connected part goes out. Fingerprints do not
+    help here: of two texts with nothing but a common line in 500 pairs one is within 20 bits, which joins a hot shard.
     """
 
     def rows(batches):
@@ -285,52 +304,52 @@ def wide_stars(radius: int, least: float):
             yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(rows(batches), key=lambda r: r[0]):
-            members = sorted((m[1:] for m in group), key=lambda m: (m[2], m[0]))
+        left, right = [], []
+        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
+            members = sorted((m[4:] for m in group), key=lambda m: (m[1], m[0]))
             if len(members) < 2:
                 continue
-            if len(members) <= SHARD:
-                names = [m[0] for m in members]
-                place = {name: k for k, name in enumerate(names)}
-                parent = list(range(len(names)))
-                for a, b in stars([m[:2] for m in members], radius):
-                    parent[place[a]] = place[b]
-                n = np.array([m[2] for m in members], np.int64)
-                counts = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(len(members), -1)
-                low = 0
-                for k in range(len(members)):
-                    while n[low] < least * n[k]:
-                        low += 1
-                    for m in (low + np.flatnonzero(may_be_similar(counts, n, k, low, least))).tolist():
-                        if (a := root(parent, m)) != (b := root(parent, k)):
-                            parent[max(a, b)] = min(a, b)
-                links = [(name, names[r]) for k, name in enumerate(names) if (r := root(parent, k)) != k]
-            else:
-                links = [(m[0], members[0][0]) for m in members[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)] or [pa.array([], pa.int64())] * 2, names=["a", "b"])
+            names = [m[0] for m in members]
+            parent = list(range(len(names)))
+            n = np.array([m[1] for m in members], np.int64)
+            bound, low = Bound(n, [m[2] for m in members], least), 0
+            for k in range(len(members)):
+                while n[low] < least * n[k]:
+                    low += 1
+                for m in bound.similar(k, low):
+                    if (a := root(parent, m)) != (b := root(parent, k)):
+                        parent[max(a, b)] = min(a, b)
+            for k, name in enumerate(names):
+                if (r := root(parent, k)) != k:
+                    left.append(name)
+                    right.append(names[r])
+            if len(left) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                left, right = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def candidates(sketches: DataFrame, radius: int, least: float) -> DataFrame:
-    """Links between documents that share sketch values and may be of the least similarity.
+def paired_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """The rows, which have a number of blocks, under each pair (i, j) of blocks of their key that theirs is in."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = [c for c in rows.columns if c not in (key, "blocks")]
+    return dealt.select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *rest)
 
-    A value that more than SHARD documents share is joined with each later one of a document's values, DEPTH times at most.
+
+def candidates(sketches: DataFrame, least: float) -> DataFrame:
+    """Links between documents that share a sketch value and may be of the least similarity.
+
+    The documents of a value are dealt in blocks of about half of SHARD; a task gets two blocks, and together the tasks
+    have every pair of blocks, so one shared value is enough however many documents share it.
     """
-    rows = sketches.select("row", "fp", "n", "counts", "sketch", F.posexplode("sketch").alias("pos", "key"))
-    done = []
-    for depth in range(DEPTH):
-        if depth == DEPTH - 1:
-            break
-        hot = stored(rows.groupBy("key").count().where(F.col("count") > SHARD).select("key"), "hot-values")
-        if hot.isEmpty():
-            break
-        rows = stored(rows, "sketch-shards")
-        done.append(rows.join(hot, "key", "left_anti").select("key", "row", "fp", "n", "counts"))
-        more = rows.join(hot, "key", "left_semi").select("row", "fp", "n", "counts", "sketch", "pos", "key", F.posexplode("sketch").alias("p", "v")).where("p > pos")
-        rows = more.select("row", "fp", "n", "counts", "sketch", F.col("p").alias("pos"), F.xxhash64("key", "v").alias("key"))
-    rows = union([*done, rows.select("key", "row", "fp", "n", "counts")])
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(wide_stars(radius, least), schema(a=LONG, b=LONG))
+    keys = sketches.select("row", F.explode("sketch").alias("key"))
+    shared = keys.groupBy("key").agg(F.ceil(2 * F.count("*") / SHARD).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = stored(paired_blocks(keys.join(shared, "key"), "key"), "sketch-shards")
+    rows = dealt.join(sketches.select("row", "n", "counts"), "row").select("key", "i", "j", "block", "row", "n", "counts")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(bounded_stars(least), schema(a=LONG, b=LONG))
 
 
 def similar(own: set[int], other: set[int], least: float) -> bool:
@@ -369,7 +388,7 @@ def verified(words: int, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
     """row, root for documents with columns row (a distinct long) and text; equal words collapse first.
 
     row and root are of the same group if a chain of documents, each at least ``least`` similar to the next, joins them;
@@ -381,13 +400,11 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIM
     named = stored(docs.select("row", F.sha2(F.encode(normal, "UTF-8"), 256).alias("words")), "equal-words")
     first = stored(named.groupBy("words").agg(F.min("row").alias("row"), F.count("*").alias("n")), "distinct-words")
     sketches = stored(sketched(docs.select("row", "text"), words), "all-sketches").join(first.select("row"), "row", "left_semi")
-    groups = components(candidates(sketches, radius, least))
+    groups = components(candidates(sketches, least))
     whole = stored(groups.select(F.col("node").alias("row"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("row"), F.col("root").alias("group")).distinct()), "candidate-groups")
     sizes = whole.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # Documents of a group in blocks; a task gets two blocks, and together the tasks have every pair of blocks.
-    dealt = whole.join(sizes, "group").select("row", "group", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"))
-    dealt = dealt.select("row", "group", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("row", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = paired_blocks(whole.join(sizes, "group"), "group")
     texts = docs.select("row", "text").join(dealt, "row").select("group", "i", "j", "block", "row", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     sure = texts.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(verified(words, least), schema(a=LONG, b=LONG))
     roots = components(sure)

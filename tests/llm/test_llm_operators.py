@@ -97,6 +97,17 @@ def test_near_copies_with_a_repeated_line(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == list(range(0, 40, 2))
 
 
+def test_one_shared_value_is_enough_in_hot_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 4)
+    monkeypatch.setattr(simhash, "SKETCH", 1)
+    words = " ".join(f"w{i}" for i in range(300))
+    made = [(k, f"{words} end{k}") for k in range(30)]
+    smallest = {min(h for got in simhash.shingles(t.encode(), simhash.NEAR_WORDS) for h in got) for _, t in made}
+    assert len(smallest) == 1 and len(set(jaccard_groups(made))) == 1
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.one_of_each(df).collect()] == [0]
+
+
 # 2: chat.
 
 
