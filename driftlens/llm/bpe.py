@@ -4,12 +4,15 @@ A word's encoding is that of a shorter prefix and one last token, so each prefix
 distinct words of a batch are walked in the depth-first order of their trie; the stack holds the last-token state of
 each prefix on the current path, so a prefix that many words share is computed once. The last token of a
 prefix is the one token t ending there such that the last token u of what stands before t and t themselves stay
-apart when their symbols are merged; that test is by pair and is remembered.
+apart when their symbols are merged; that test is by pair and is remembered. The tokens that end at a prefix are known
+from the longest end of it that starts a token: the walk holds that state as well, and its steps are remembered.
 
 ``Bpe`` reads a tokenizer of the tokenizers library whose model is a BPE with word ends. Texts are cut at
-spaces and line feeds, which its normaliser makes equal and its pre-tokenizer drops; the library's own normaliser and
-pre-tokenizer see each distinct piece once (a pattern does their work on printable ASCII). It expects the normaliser and
-pattern of the vocabulary file ``word_bpe_49k.json`` and refuses others.
+spaces and line feeds, which its normaliser makes equal and its pre-tokenizer drops. Pieces and words are numbered by
+Arrow; what a worker does not know is learnt, and ids and texts are gathered end to end. Patterns do the work of normaliser
+and pre-tokenizer on PLAIN pieces (letters that compose with nothing, then ASCII marks) and on printable ASCII; the library's
+own see the other distinct pieces. It expects the normaliser and pattern of the vocabulary file ``word_bpe_49k.json``
+and refuses others.
 
 Defined cases: null text is empty and has no ids; the strings of special tokens in a text are those tokens, as in
 the library; rows pass whatever their id; repeated rows give repeated results; an empty table an empty table.
@@ -19,22 +22,27 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftlens.llm.common import BINARY, LONG, STRING, Recent, apart, at, text_mapped
+from driftlens.llm.common import BINARY, LONG, STRING, Pieces, apart, at, joined, lettered, merged, text_mapped
 
-#: Distinct pieces that a worker remembers, and remembered pair tests.
-MOST_PIECES = 700_000
-MOST_PAIRS = 1_000_000
-#: Longer pieces are encoded but not remembered.
-LONGEST_PIECE = 200
+#: Distinct pieces, and distinct words, that a worker remembers, and remembered pair tests.
+MOST_PIECES = 400_000
+MOST_WORDS = 1_000_000
+MOST_PAIRS = 400_000
+MOST_STEPS = 400_000
 #: Fixed value: the word pattern of the tokenizers that this reads.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What the library's normaliser and pre-tokenizer leave of printable ASCII, where letters are a-z once lower-cased.
+#: Letters that no normaliser joins with what follows, then ASCII marks, in Arrow's patterns.
+PLAIN = r"^(?P<word>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 PRINTABLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -59,10 +67,15 @@ class Bpe:
             self.made[left + right] = (left, right, k)
         self.name = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.longest = max(map(len, self.vocab))
+        self.starts = {t[:k] for t in self.vocab for k in range(1, len(t) + 1)}
+        self.steps: dict[str, tuple[str, list[tuple[str, int]]]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.pieces = Recent(MOST_PIECES)
+        self.pieces = Pieces(self.learn, MOST_PIECES)
+        # Words in the alphabet of bytes, as the pre-tokenizer gives them, and plain ones as they are.
+        self.known = Pieces(lambda w: self.learn_words(w.to_pylist()), MOST_WORDS // 4)
+        self.letters = Pieces(lambda w: self.learn_words(list(map(lettered, w.to_pylist()))), MOST_WORDS)
 
     def symbols(self, token: str) -> list[str]:
         """The characters a token starts from; a word end belongs to the last."""
@@ -118,65 +131,113 @@ class Bpe:
             known = self.whole[token] = self.merged(self.symbols(token)) == [token]
         return known
 
-    def words(self, words: set[str]) -> dict[str, list[str]]:
-        """Tokens of each word; words are strings of the pre-tokenizer, without word ends."""
-        out: dict[str, list[str]] = {}
+    def words(self, words: list[str]) -> list[list[str]]:
+        """Tokens of each distinct word; words are strings of the pre-tokenizer, without word ends."""
+        out: list[list[str]] = [[]] * len(words)
         last: list[str] = [""]  # last[d]: the last token of the path's prefix of d symbols
-        path = ""
-        for word in sorted(words):
-            shared, most = 0, min(len(path), len(word) - 1)
+        state: list[str] = [""]  # state[d]: the longest end of it that starts a token
+        steps, pairs, path, sizes = self.steps, self.pairs, "", len(self.end)
+        for place in sorted(range(len(words)), key=words.__getitem__):
+            word = words[place]
+            inner = len(word) - 1
+            shared, most = 0, min(len(path), inner)
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], state[shared + 1 :]
             path = word[:-1]
-            for d in range(shared + 1, len(word)):
-                last.append(self.last(path, d, last, ""))
-            tail = self.last(word, len(word), last, self.end)
-            tokens, d = [tail], len(word) - (len(tail) - len(self.end))
+            at_ = state[shared]
+            for d in range(shared + 1, inner + 1):
+                key = at_ + word[d - 1]
+                known = steps.get(key)
+                at_, ends = known if known is not None else self.step(key)
+                for token, n in ends:
+                    if d == n or (ok := pairs.get((left := last[d - n], token))) or ok is None and self.apart(left, token):
+                        last.append(token)
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:d]!r}")
+                state.append(at_)
+            tail = self.tail(word, last)
+            tokens, d = [tail], inner + 1 - (len(tail) - sizes)
             while d:
                 tokens.append(t := last[d])
                 d -= len(t)
-            out[word] = tokens[::-1]
+            out[place] = tokens[::-1]
         return out
 
-    def last(self, text: str, d: int, last: list[str], end: str) -> str:
-        for k in range(max(0, d - self.longest), d):
-            token = text[k:d] + end
+    def step(self, key: str) -> tuple[str, list[tuple[str, int]]]:
+        """For a state and the next symbol: the state behind it, and the tokens that end there with their sizes, longest first."""
+        state = next((key[k:] for k in range(len(key)) if key[k:] in self.starts), "")
+        ends = [(state[k:], len(state) - k) for k in range(len(state)) if state[k:] in self.vocab and self.alone(state[k:])]
+        if len(self.steps) >= MOST_STEPS:
+            self.steps.clear()
+        self.steps[key] = state, ends
+        return state, ends
+
+    def tail(self, word: str, last: list[str]) -> str:
+        """The token that ends a word."""
+        for k in range(max(0, len(word) - self.longest), len(word)):
+            token = word[k:] + self.end
             if token in self.vocab and self.alone(token) and (not k or self.apart(last[k], token)):
                 return token
-        raise ValueError(f"no token ends {text[:d]!r}")
+        raise ValueError(f"no token ends the word {word!r}")
 
-    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids (32-bit little-endian) and decoded text of pieces."""
+    def learn_words(self, words: list[str]) -> list[pa.Array]:
+        """Ids (32-bit little-endian) and tokens' texts, a space before each, of distinct words."""
+        tokens, vocab = self.words(words), self.vocab
+        ids = [array("I", [vocab[t] for t in ts]).tobytes() for ts in tokens]
+        return [pa.array(ids, pa.binary()), pa.array([" " + " ".join(ts) for ts in tokens], pa.string())]
+
+    def learn(self, pieces: pa.Array) -> list[pa.Array]:
+        """The same of distinct pieces."""
         normal, cut = self.library.normalizer, self.library.pre_tokenizer
-        split = {p: PRINTABLE.findall(p.lower()) if p.isascii() and p.isprintable() else [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(p)) if w] for p in pieces}
-        tokens = self.words({w for ws in split.values() for w in ws})
-        out = {}
-        for p, ws in split.items():
-            ids = [self.vocab[t] for w in ws for t in tokens[w]]
-            out[p] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-        return out
+        found = pc.extract_regex(pieces, PLAIN)
+        plain, rest = found.is_valid(), pieces.filter(found.is_null())
+        word, marks = (pc.utf8_lower(found.field(k).filter(plain)) for k in (0, 1))
+        lists = pc.split_pattern(pc.binary_join_element_wise(word, pc.if_else(pc.equal(marks, ""), None, marks), "\n", null_handling="skip"), "\n")
+        words, ends = [], [0]
+        for p in rest.to_pylist():
+            words += PRINTABLE.findall(p.lower()) if p.isascii() and p.isprintable() else [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(p)) if w]
+            ends.append(len(words))
+        other = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()))
+        parts = [(np.flatnonzero(plain), self.gathered(self.letters, lists)), (np.flatnonzero(found.is_null()), self.gathered(self.known, other))]
+        return [merged(len(pieces), [(at_, x[k]) for at_, x in parts]) for k in (0, 1)]
+
+    @staticmethod
+    def gathered(known: Pieces, lists: pa.ListArray) -> list[pa.Array]:
+        ids, texts = known.of(lists.values)
+        return [joined(ids, lists), joined(texts, lists).cast(pa.string())]
+
+    def sections(self, text: str) -> tuple[bytes, str]:
+        """Ids and text of a text with the strings of special tokens in it."""
+        got = []
+        for k, s in enumerate(self.cut.split(text)):
+            if k % 2:
+                got.append((np.array([self.special[s]], "<u4").tobytes(), " " + s))
+            else:
+                got += zip(*(x.to_pylist() for x in self.plain(pa.array([s], pa.string()))), strict=True)
+        return b"".join([i for i, _ in got]), "".join([t for _, t in got])
+
+    def plain(self, texts: pa.Array) -> list[pa.Array]:
+        return self.gathered(self.pieces, pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids and decoded text of whole texts."""
-        cuts = []
-        for text in texts:
-            sections = self.cut.split(text) if self.cut else [text]
-            cuts.append([(s, None) if k % 2 else (s, s.replace("\n", " ").split(" ")) for k, s in enumerate(sections)])
-        new = self.pieces.wanting({p for c in cuts for _, ps in c if ps for p in ps})
-        known = self.pieces.young
-        fresh = self.learn(new)
-        long = {p: fresh[p] for p in new if len(p) > LONGEST_PIECE}
-        known.update(fresh)
-        out = []
-        for c in cuts:
-            got = []
-            for s, ps in c:
-                got += [known[p] for p in ps] if ps is not None else [(np.array([self.special[s]], "<u4").tobytes(), s)]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
-        for p in long:
-            del known[p]
-        return out
+        """Ids (32-bit little-endian) and decoded text of whole texts."""
+        return list(zip(*(x.to_pylist() for x in self.columns(pa.array(texts, pa.string()))), strict=True))
+
+    def columns(self, texts: pa.Array) -> list[pa.Array]:
+        """The same as columns."""
+        texts = texts.fill_null("")
+        special = pa.array(np.zeros(len(texts), bool))
+        for s in self.special:
+            special = pc.or_(special, pc.match_substring(texts, s))
+        places = special.to_numpy(zero_copy_only=False)
+        parts = [(np.flatnonzero(~places), self.plain(texts.filter(pc.invert(special))))]
+        if places.any():
+            got = [self.sections(t) for t in texts.filter(special).to_pylist()]
+            parts.append((np.flatnonzero(places), [pa.array([i for i, _ in got], pa.binary()), pa.array([t for _, t in got], pa.string())]))
+        ids, decoded = (merged(len(texts), [(at_, x[k]) for at_, x in parts]) for k in (0, 1))
+        return [ids, pc.utf8_slice_codeunits(decoded, 1)]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) without a decoder: tokens joined by spaces."""
@@ -211,9 +272,9 @@ def encoded(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -> D
         coder = ready(sent.value)
 
         def run(texts):
-            got = coder.encode([(t or b"").decode() for t in texts])
-            return [len(i) // 4 for i, _ in got], [i for i, _ in got], [d for _, d in got]
+            ids, decoded = coder.columns(texts)
+            return [pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), ids, decoded]
 
         return run
 
-    return text_mapped(x, "_text", make, {"n_tokens": LONG, "ids": BINARY, "decoded": STRING}, [c for c in x.columns if c != "_text"])
+    return text_mapped(x, "_text", make, {"n_tokens": LONG, "ids": BINARY, "decoded": STRING}, [c for c in x.columns if c != "_text"], arrow=True)

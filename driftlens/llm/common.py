@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of an Arrow batch; a batch of whole texts must fit in a worker many times over.
-BATCH_ROWS = 400
+#: Bytes of an Arrow batch; a batch of whole texts must fit in a worker many times over. A longer text is a batch alone.
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +90,14 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts within a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keeps Arrow batches of whole texts within a worker's memory, whatever the texts' lengths.
+
+    The setting stays, as plans run after their operator has returned; it bounds batches and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(key).rstrip("bB")
+    if not known.isdigit() or not 0 < int(known) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def hex_digest(text: Column) -> Column:
@@ -105,11 +111,11 @@ def schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-def text_mapped(df: DataFrame, text: str, make, fields: dict[str, T.DataType], keep: list[str] | None = None) -> DataFrame:
+def text_mapped(df: DataFrame, text: str, make, fields: dict[str, T.DataType], keep: list[str] | None = None, arrow: bool = False) -> DataFrame:
     """The kept columns and new ones that a function of whole texts gives, batch by batch.
 
-    make() is called once in each task and returns a function from a list of texts as UTF-8 bytes (or None)
-    to a list of new columns; batches are streamed, so a task holds one batch.
+    make() is called once in each task and returns a function from a list of texts as UTF-8 bytes (or None), or with
+    arrow from an Arrow array of them, to a list of new columns; batches are streamed, so a task holds one batch.
     """
     small_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
@@ -120,12 +126,90 @@ def text_mapped(df: DataFrame, text: str, make, fields: dict[str, T.DataType], k
     def run(batches):
         function = make()
         for b in batches:
-            new = function(b.column(place).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *(pa.array(v, t) for v, t in zip(new, kinds, strict=True))], names=out.names)
+            new = function(b.column(place) if arrow else b.column(place).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *(v if arrow else pa.array(v, t) for v, t in zip(new, kinds, strict=True))], names=out.names)
 
     return df.mapInArrow(run, out)
 
 
+class Pieces:
+    """What a function gives for pieces of texts, kept for pieces seen lately.
+
+    learn: from an Arrow array of distinct pieces to a list of arrays of their values. Pieces and values are held in Arrow
+    arrays. When there are more than ``most`` pieces, or PIECE_BYTES times as many bytes, those not asked for since the
+    last time go; if that leaves more than half, all go.
+    """
+
+    PIECE_BYTES = 64
+
+    def __init__(self, learn, most: int):
+        self.learn, self.most = learn, most
+        self.keys, self.values, self.used = pa.array([], pa.string()), None, np.zeros(0, bool)
+
+    def of(self, pieces: pa.Array) -> list[pa.Array]:
+        """The values of each piece, in order; equal pieces cost a hash lookup each."""
+        coded = pieces.dictionary_encode()
+        places = pc.index_in(coded.dictionary, value_set=self.keys)
+        new = coded.dictionary.filter(pc.is_null(places))
+        self.used[places.drop_null().to_numpy()] = True
+        if len(new) or self.values is None:
+            learnt = self.learn(new)
+            self.values = [pa.concat_arrays([v, n]) for v, n in zip(self.values, learnt, strict=True)] if self.values else learnt
+            self.keys = pa.concat_arrays([self.keys, new])
+            full, first = places.to_numpy(zero_copy_only=False), len(self.used)
+            missing = np.isnan(full) if full.dtype.kind == "f" else np.zeros(len(full), bool)
+            full = np.where(missing, first + np.cumsum(missing) - 1, full).astype(np.int32)
+            self.used = np.concatenate([self.used, np.ones(len(new), bool)])
+        else:
+            full = places.to_numpy()
+        at_ = pa.array(full[coded.indices.to_numpy()])
+        out = [v.take(at_) for v in self.values]
+        if self.share() > 1:
+            self.filter(self.used)
+            if self.share() > 0.5:
+                self.filter(np.zeros(len(self.used), bool))
+        return out
+
+    def share(self) -> float:
+        """How much of what may be held is held."""
+        held = self.keys.nbytes + sum(v.nbytes for v in self.values)
+        return max(len(self.keys) / self.most, held / (self.most * self.PIECE_BYTES))
+
+    def filter(self, stay: np.ndarray) -> None:
+        mask = pa.array(stay)
+        self.keys, self.values = self.keys.filter(mask), [v.filter(mask) for v in self.values]
+        self.used = np.zeros(len(self.keys), bool)
+
+
+def byte_letters() -> dict[int, str]:
+    """The alphabet of byte-level tokenizers: a byte that prints stands for itself, others are numbered from 256."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def lettered(word: str) -> str:
+    """A word in that alphabet; no controls or spaces in it if it is ASCII."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+def joined(values: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The values of each list of pieces end to end, as binary."""
+    return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, values.cast(pa.binary())), b"")
+
+
+def merged(n: int, parts: list[tuple[np.ndarray, pa.Array]]) -> pa.Array:
+    """One array of n values from arrays of the values at some places each."""
+    if len(parts) == 1:
+        return parts[0][1]
+    places = np.empty(n, np.int64)
+    places[np.concatenate([p for p, _ in parts])] = np.arange(n)
+    return pa.concat_arrays([v for _, v in parts]).take(pa.array(places))
+
+
 class Recent:
     """Values of recently used keys: at most ``most`` in two generations; the older one goes when the younger is full."""
 
