@@ -208,23 +208,3 @@ def merged(n: int, parts: list[tuple[np.ndarray, pa.Array]]) -> pa.Array:
     places = np.empty(n, np.int64)
     places[np.concatenate([p for p, _ in parts])] = np.arange(n)
     return pa.concat_arrays([v for _, v in parts]).take(pa.array(places))
-
-
-class Recent:
-    """Values of recently used keys: at most ``most`` in two generations; the older one goes when the younger is full."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def wanting(self, keys: set) -> list:
-        """Those keys whose values are not known; the others are in ``young`` until the next call."""
-        if len(self.young) >= self.most // 2:
-            self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
-        return out

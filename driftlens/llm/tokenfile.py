@@ -17,6 +17,7 @@ empty table gives an empty folder that reads as no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -24,20 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftlens.llm.common import BINARY, INT, LONG, Recent, documents, schema, scratch, small_batches, stored, text_mapped
+from driftlens.llm.common import BINARY, BYTE_LETTERS, INT, LONG, Pieces, documents, joined, lettered, merged, schema, scratch, small_batches, stored, text_mapped
 
 LIMIT = 16
 BLOCK = 512
 SEGMENT = 500_000
-#: Distinct pieces that a worker remembers; longer pieces are not remembered.
-MOST_PIECES = 1_000_000
-LONGEST_PIECE = 200
-DOUBLE_SPACE = re.compile(r"\s\s")
+#: Distinct pieces and words that a worker remembers, and pieces that the library gets at once.
+MOST_PIECES = 400_000
+MOST_WORDS = 1_000_000
+CALL = 20_000
+#: Pieces of Latin letters and then ASCII marks, in Arrow's patterns.
+PLAIN = r"^(?P<word>\n?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+#: Two characters of white space side by side, in Arrow's patterns; a space that starts a piece, in Python's.
+DOUBLE_SPACE = r"[\s\v\x1c-\x1f\x85\pZ]{2}"
 SAFE_SPACE = re.compile(r" (?=\S)")
 SEGMENTS = schema(part=INT, seq=LONG, base=LONG, n_ids=LONG, doc_ids=BINARY, doc_counts=BINARY, offsets=BINARY, data=BINARY)
 DECODED = schema(doc_id=LONG, start=LONG, n_tokens=LONG, ids=BINARY)
@@ -48,8 +54,13 @@ class Ids:
     """Ids of whole texts by a byte-level tokenizer of the tokenizers library.
 
     A space before a character that isn't white space always starts a new piece of the pre-tokenizer, and so does a
-    line feed between such characters. Texts are cut there and the library encodes each distinct piece once. Keys of
-    pieces: without mark, a space stands before; from a line feed on, as it is; the first after two line feeds.
+    line feed between such characters. Texts are cut there, pieces are numbered by Arrow, the library encodes each
+    piece that the worker does not know, and the ids of a text's pieces are gathered end to end. Keys of pieces:
+    without mark, a space stands before; from a line feed on, as it is; the first after two line feeds.
+
+    Most pieces are PLAIN: letters and then ASCII marks, which the pre-tokenizer always parts. They are cut by Arrow
+    as well; the library's model gets each word of letters once, in the alphabet of bytes. The rest goes through the
+    whole library, as all pieces do if the tokenizer's normaliser or pre-tokenizer is another one.
     """
 
     def __init__(self, spec: str):
@@ -59,27 +70,64 @@ class Ids:
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.type = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pieces = Recent(MOST_PIECES)
+        self.pieces, self.words = Pieces(self.learn, MOST_PIECES), Pieces(self.learn_words, MOST_WORDS)
+        j = json.loads(spec)
+        cut = j["pre_tokenizer"] or {}
+        self.plain = j["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
 
     def raw(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.type == "<u2" else "I"
-        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def cut(self, text: str) -> list[str]:
-        parts = SAFE_SPACE.split(text) if DOUBLE_SPACE.search(text) else text.replace("\n", " \n").split(" ")
-        parts[0] = "\n\n" + parts[0]
-        return parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        new = self.pieces.wanting({p for c in cuts if c for p in c})
-        known = self.pieces.young
-        known.update(zip(new, self.raw([p[2:] if p.startswith("\n\n") else p if p.startswith("\n") else " " + p for p in new]), strict=True))
-        out = [self.raw([t])[0] if c is None else b"".join([known[p] for p in c]) for t, c in zip(texts, cuts, strict=True)]
-        for p in new:
-            if len(p) > LONGEST_PIECE:
-                del known[p]
-        return out
+        return [array(code, e.ids).tobytes() for k in range(0, len(texts), CALL) for e in self.library.encode_batch_fast(texts[k : k + CALL], add_special_tokens=False)]
+
+    def learn(self, pieces: pa.Array) -> list[pa.Array]:
+        """Ids of distinct pieces."""
+        found = pc.extract_regex(pieces, PLAIN if self.plain else "(?P<word>$.)(?P<marks>)")
+        there = found.is_valid()
+        word, marks = (pc.fill_null(found.field(k), "") for k in (0, 1))
+        # Marks after a word have no space before them: a key of their own.
+        parts = pc.binary_join_element_wise(word, pc.binary_join_element_wise("\v", marks, ""), "\n\n")
+        lists = pc.split_pattern(parts.filter(there), "\n\n")
+        places, rest = np.flatnonzero(there), pieces.filter(pc.invert(there))
+        texts = [p[2:] if p.startswith("\n\n") else p if p.startswith("\n") else " " + p for p in rest.to_pylist()]
+        ids = [(places, joined(self.words.of(lists.values)[0], lists)), (np.flatnonzero(pc.invert(there)), pa.array(self.raw(texts), pa.binary()))]
+        return [merged(len(pieces), ids)]
+
+    def learn_words(self, words: pa.Array) -> list[pa.Array]:
+        """Ids of distinct words, each a piece without marks, and of marks after a \\v."""
+        code, cut = "H" if self.type == "<u2" else "I", self.library.model.tokenize
+        space, feed = BYTE_LETTERS[0x20], BYTE_LETTERS[0x0A]
+
+        def tokens(w: str) -> list[int]:
+            if w[0] == "\v":
+                return [t.id for t in cut(w[1:])] if len(w) > 1 else []
+            return [t.id for k in ((feed, lettered(w[1:])) if w[0] == "\n" else (space + lettered(w),)) for t in cut(k)]
+
+        ids = map(tokens, words.to_pylist())
+        return [pa.array([array(code, x).tobytes() for x in ids], pa.binary())]
+
+    def known(self, lists: pa.ListArray) -> pa.Array:
+        return joined(self.pieces.of(lists.values)[0], lists)
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text, as binary."""
+        texts = texts.fill_null("")
+        whole, spaced = pa.array(np.zeros(len(texts), bool)), pc.match_substring_regex(texts, DOUBLE_SPACE)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        kind = np.where(whole.to_numpy(zero_copy_only=False), 2, spaced.to_numpy(zero_copy_only=False).astype(int))
+        parts = []
+        for k in (0, 1, 2):
+            places = np.flatnonzero(kind == k)
+            own = texts.take(pa.array(places))
+            if k == 0:
+                got = self.known(pc.split_pattern(pc.binary_join_element_wise("\n\n", pc.replace_substring(own, "\n", " \n"), ""), " ")) if len(own) else None
+            elif k == 1:
+                got = self.known(pa.array([SAFE_SPACE.split("\n\n" + t) for t in own.to_pylist()], pa.list_(pa.string())))
+            else:
+                got = pa.array(self.raw(own.to_pylist()), pa.binary())
+            if len(own):
+                parts.append((places, got))
+        return merged(len(texts), parts) if parts else pa.array([], pa.binary())
 
 
 _READY: dict[int, Ids] = {}
@@ -102,9 +150,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = 0) -> tuple[DataFrame,
     def make():
         coder = ready(sent.value)
         tail = np.array([end], coder.type).tobytes()
-        return lambda texts: ([x + tail for x in coder.encode([(t or b"").decode() for t in texts])],)
+        return lambda texts: [pc.binary_join_element_wise(coder.encode(texts), tail, b"")]
 
-    return text_mapped(documents(docs), "text", make, {"ids": BINARY}, ["doc_id"]), kind
+    return text_mapped(documents(docs), "text", make, {"ids": BINARY}, ["doc_id"], arrow=True), kind
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
