@@ -34,10 +34,10 @@ from tokenizers import Tokenizer
 from driftlens.llm.common import BINARY, LONG, STRING, Pieces, apart, at, joined, lettered, merged, text_mapped
 
 #: Distinct pieces, and distinct words, that a worker remembers, and remembered pair tests.
-MOST_PIECES = 400_000
-MOST_WORDS = 1_000_000
+MOST_PIECES = 300_000
+MOST_WORDS = 800_000
 MOST_PAIRS = 400_000
-MOST_STEPS = 400_000
+MOST_STEPS = 200_000
 #: Fixed value: the word pattern of the tokenizers that this reads.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What the library's normaliser and pre-tokenizer leave of printable ASCII, where letters are a-z once lower-cased.

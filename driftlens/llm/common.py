@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -128,8 +130,23 @@ def text_mapped(df: DataFrame, text: str, make, fields: dict[str, T.DataType], k
         for b in batches:
             new = function(b.column(place) if arrow else b.column(place).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *(v if arrow else pa.array(v, t) for v, t in zip(new, kinds, strict=True))], names=out.names)
+            pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(trimmed(run), out)
+
+
+def trimmed(run):
+    """The same, and memory that it has freed goes back to the system: a worker stays for tasks of other operators."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
 
 
 class Pieces:
