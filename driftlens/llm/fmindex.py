@@ -1,22 +1,26 @@
 """Substring dedup: compressed FM-indexes of shards, searched backwards for matching statistics.
 
-A window is WINDOW consecutive words. Equal windows have the same minimizer (the smallest hash of their PART-word
-parts, the first of equal ones), so a shard is a minimizer, and a document's windows with one minimizer in one
-place are a segment of at most 2 * WINDOW - PART words: every window occurrence lies in one segment of one shard.
-Minimizers that occur once in all documents need no index; the others' segments meet in tasks that index shards until
-INDEX_WORDS words are reached, one index for all of them.
-
-An index holds the Burrows-Wheeler transform of its distinct segments, words numbered, as a wavelet tree in matrix
-form: one packed bit vector for each bit of the numbers, with ranks from block counts and popcounts. Segments
-stream through it as lanes that all step backwards together; a lane keeps the interval of a match and gives up
-where the weight (copies of the segments in the interval) falls below two. Reported are the intervals of
-WINDOW words or more.
-
-A minimizer that more than SHARD segments share would grow a shard without bound. Its windows are shards by
-themselves: counted by their content (a 128-bit hash) with partial sums before the exchange.
+A window is WINDOW consecutive words. Equal windows have the same minimizer (the smallest hash of their parts of
+PARTS[0] words, the first of equal ones), so a shard is a minimizer, and a document's windows with one minimizer in one
+place are a segment of fewer than 2 * WINDOW words: every window occurrence lies in one segment of one shard. Minimizers
+that occur once in all documents need no index. Equal segments of a shard are one row with a weight, summed before they
+are exchanged; a passage that many documents share is one segment.
+
+A shard of more than SHARD different segments (a line in many contexts) is cut again: its segments' windows by the
+minimizers of their next longer parts, and these once more by whole windows, where a shard is one window. Found intervals
+go back from segments to what they were cut from. So one index holds INDEX_WORDS words and one shard at most, and its
+size doesn't depend on how often a passage occurs.
+
+An index holds the Burrows-Wheeler transform of its segments, words numbered, as a wavelet tree in matrix form: one packed
+bit vector for each bit of the numbers, with rank counts of 16 bits a word of 64 and 32 bits each 512, so 1.3 bits for
+each bit of the transform. Segments stream through it as lanes that all step backwards together. A lane holds the
+longest match that starts at its place and whose weight (copies of the segments in the interval) is two or more: its
+matching statistic. Where the match can't be extended it is shortened at its end to the next longer interval, by the
+longest common prefixes at the interval's edges. Reported are the matches of WINDOW words or more.
 
 Equal texts are one text with a number of copies. Texts are stored once, bucketed by their key, and later stages
-join figures to them without moving them.
+join figures to them without moving them. A batch of texts is bounded by bytes; a longer text is a batch alone, whose
+arrays take about twenty times its bytes.
 
 Defined cases: null and empty texts have no words; texts of fewer than WINDOW words lose nothing; of equal texts all
 lose all windows; repeated rows are copies; null ids pass; an empty table gives an empty table.
@@ -24,82 +28,139 @@ lose all windows; repeated rows are copies; null ids pass; an empty table gives
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlens.llm.common import INT, LONG, STRING, at, documents, schema, scratch, small_batches, stored
+from driftlens.llm.common import INT, LONG, STRING, at, documents, schema, scratch, small_batches, stored, trimmed
 
 WINDOW = 35
-PART = 12
-#: Segments of a minimizer that go to one index; windows of others are counted one by one.
-SHARD = 5000
+#: Words of the parts whose smallest hash names a shard, and of those that cut shards again; the last is the window.
+PARTS = (12, 24, WINDOW)
+#: Different segments of a minimizer that go to one index; larger shards are cut again.
+SHARD = 2000
 #: Words after which a task closes an index and starts the next.
-INDEX_WORDS = 1_000_000
+INDEX_WORDS = 700_000
+#: Segments of a batch that goes out.
+ROWS = 20_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def minimizers(words: list[bytes], window: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts with one minimizer: (its hash as a signed number, first start, last start)."""
-    base = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1)
-    n = len(words) - part + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(part):
-        h = h * MULTIPLIER + base[k : k + n]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    span = window - part + 1
-    least = np.empty(n - span + 1, np.int64)
-    for k in range(0, len(least), 1 << 16):  # bounded memory for very long texts
-        seen = np.lib.stride_tricks.sliding_window_view(h[k : k + (1 << 16) + span - 1], span)
-        least[k : k + len(seen)] = seen.argmin(1) + np.arange(k, k + len(seen))
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.concatenate([first[1:], [len(least)]]) - 1
-    return h[least[first]].view(np.int64), first, last
+class Words:
+    """The words of the texts of a batch, end to end."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+        some = pc.greater(pc.binary_length(texts), 0)
+        blank = pc.and_(some, pc.equal(pc.binary_length(pc.list_element(lists, 0)), 0)) if len(texts) else some
+        self.words, ends = lists.values, lists.offsets.to_numpy()
+        # A text without words has an empty one.
+        self.none = pc.or_(pc.invert(some), blank).to_numpy(zero_copy_only=False)
+        self.first, self.count = ends[:-1], np.where(self.none, 0, np.diff(ends))
+
+    def hashes(self) -> np.ndarray:
+        coded = self.words.dictionary_encode()
+        each = np.fromiter(map(zlib.crc32, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+        return each[coded.indices.to_numpy()] + np.uint64(1)
+
+    def minimizers(self, window: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of window starts with one minimizer: text, hash as a signed number, first start, last start (in ``words``)."""
+        base, n = self.hashes(), len(self.words) - part + 1
+        if n <= window - part:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        h = np.zeros(n, np.uint64)
+        for k in range(part):
+            h = h * MULTIPLIER + base[k : k + n]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        span = window - part + 1
+        least = np.empty(n - span + 1, np.int64)
+        for k in range(0, len(least), 1 << 16):  # bounded memory for very long texts
+            seen = np.lib.stride_tricks.sliding_window_view(h[k : k + (1 << 16) + span - 1], span)
+            least[k : k + len(seen)] = seen.argmin(1) + np.arange(k, k + len(seen))
+        fits = np.maximum(self.count - window + 1, 0)
+        text = np.repeat(np.arange(len(self.count)), fits)
+        start = np.arange(len(text)) + np.repeat(self.first - np.concatenate([[0], np.cumsum(fits)[:-1]]), fits)
+        least = least[start]
+        first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])) if len(text) else np.zeros(0, np.int64)
+        last = np.concatenate([first[1:], [len(text)]])[: len(first)] - 1
+        return text[first], h[least[first]].view(np.int64), start[first], start[last]
+
+    def joined(self, first: np.ndarray, last: np.ndarray) -> Iterator[str]:
+        """Words first to last, joined by spaces, a bounded number of rows at a time."""
+        line = b" ".join(self.words.cast(pa.binary()).to_pylist())
+        ends = np.cumsum(pc.binary_length(self.words).to_numpy().astype(np.int64) + 1)
+        starts = np.concatenate([[0], ends[:-1]])
+        return map(line.__getitem__, map(slice, starts[first].tolist(), (ends[last] - 1).tolist()))
 
 
 class FmIndex:
-    """Counts of patterns in weighted sequences of numbers from 1; patterns up to ``depth`` symbols."""
-
-    def __init__(self, sequences: list[np.ndarray], weights: np.ndarray, depth: int):
-        zero = np.zeros(1, np.int64)
-        text = np.concatenate([x for s in sequences for x in (s, zero)])
-        n = len(text)
-        owner = np.repeat(np.arange(len(sequences)), [len(s) + 1 for s in sequences])
-        rank, order, step = text, np.argsort(text, kind="stable"), 1
+    """Counts of patterns in weighted sequences of numbers from 1; patterns up to ``depth`` symbols.
+
+    symbols: the sequences end to end; sizes: of each.
+    """
+
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, weights: np.ndarray, depth: int):
+        ends = np.cumsum(sizes + 1)
+        n = int(ends[-1])
+        text = np.zeros(n, np.int64)
+        text[np.delete(np.arange(n), ends - 1)] = symbols
+        ranks, order, step = [text.astype(np.int32)], np.argsort(text, kind="stable"), 1
         while step < min(depth, n):
             following = np.zeros(n, np.int64)
-            following[: n - step] = rank[step:] + 1
-            key = rank * (n + 2) + following
+            following[: n - step] = ranks[-1][step:] + np.int64(1)
+            key = ranks[-1] * np.int64(n + 2) + following
             order = np.argsort(key, kind="stable")
             ordered = key[order]
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+            ranks.append(rank)
             step *= 2
-        self.weight = np.concatenate([[0], np.cumsum(weights[owner[order]])])
+        self.prefixes(ranks, order, np.repeat(ends - 1, sizes + 1) - np.arange(n))
+        self.weight = np.concatenate([[0], np.cumsum(np.repeat(weights, sizes + 1)[order])])
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
-        transform = text[order - 1]
+        transform = text[order - 1].astype(np.int32)
         self.n, self.levels = n, max(1, int(text.max()).bit_length())
         self.bits: list[np.ndarray] = []
-        self.ones: list[np.ndarray] = []
+        self.blocks: list[np.ndarray] = []
+        self.inside: list[np.ndarray] = []
         self.zeros: list[int] = []
         for level in reversed(range(self.levels)):
             bit = (transform >> level & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, np.uint8)]), bitorder="little").view("<u8")
+            packed = np.packbits(np.concatenate([bit, np.zeros(-n % 512 + 512, np.uint8)]), bitorder="little").view("<u8")
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]])
             self.bits.append(packed)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))]))
+            self.blocks.append(before[::8].astype(np.uint32))
+            self.inside.append((before - np.repeat(before[::8], 8)).astype(np.uint16))
             self.zeros.append(n - int(bit.sum()))
             transform = np.concatenate([transform[bit == 0], transform[bit == 1]])
 
+    def prefixes(self, ranks: list[np.ndarray], order: np.ndarray, left: np.ndarray) -> None:
+        """Longest common prefix of each suffix and the one before it, -1 at both edges, under minima of 2, 4, 8, ... of them."""
+        n = len(order)
+        a, b, same = order[:-1].copy(), order[1:].copy(), np.zeros(n - 1, np.int64)
+        for k in reversed(range(len(ranks))):
+            inside = np.maximum(a, b) < n
+            more = np.zeros(n - 1, bool)
+            more[inside] = ranks[k][a[inside]] == ranks[k][b[inside]]
+            for x in (a, b, same):
+                x += more * (1 << k)
+        common = np.full(n + 1, -1, np.int32)
+        common[1:n] = np.minimum(same, left[order[1:]])
+        self.common = [common]
+        while len(self.common[-1]) > 1:
+            row = self.common[-1]
+            row = np.concatenate([row, [np.iinfo(np.int32).max]]) if len(row) % 2 else row
+            self.common.append(np.minimum(row[::2], row[1::2]).astype(np.int32))
+
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place of the transform."""
         low = np.zeros(len(place), np.int64)
@@ -107,7 +168,8 @@ class FmIndex:
             one = (symbol >> level & 1).astype(bool)
             both = np.concatenate([low, place])
             word = both >> 6
-            seen = self.ones[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1)))
+            part = np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1)))
+            seen = self.blocks[k][word >> 3].astype(np.int64) + self.inside[k][word] + part
             both = np.where(np.concatenate([one, one]), seen + self.zeros[k], both - seen)
             low, place = both[: len(low)], both[len(low) :]
         return place - low
@@ -117,43 +179,57 @@ class FmIndex:
         got = self.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.concatenate([self.first[symbol]] * 2)
         return got[: len(lo)], got[len(lo) :]
 
-    def repeated(self, sequences: list[np.ndarray], window: int) -> list[list[tuple[int, int]]]:
-        """For each sequence the intervals of ``window`` symbols or more of which each window has weight two or more.
-
-        A first search from the whole sequence's end gives its longest repeated ending. What windows are left are
-        then tried from the left: where a window's search fails before symbol b, all windows up to b hold the failure.
-        """
-        out: list[list[tuple[int, int]]] = [[] for _ in sequences]
-        size = np.array([len(s) for s in sequences])
-        flat = np.concatenate(sequences)
-        base = np.concatenate([[0], np.cumsum(size)[:-1]])
-        lane = np.flatnonzero(size >= window)
-        start = np.zeros(len(lane), np.int64)  # where the search may stop
-        at_, end = size[lane].copy(), size[lane].copy()
-        limit = size[lane] - window  # last window still open
-        whole = np.ones(len(lane), bool)
+    def nearest(self, place: np.ndarray, below: np.ndarray, step: int) -> np.ndarray:
+        """The first place from each on, in the direction of step, whose common prefix is below a number."""
+        place, found = place.copy(), np.full(len(place), -1)
+        for k, row in enumerate(self.common):
+            open_ = np.flatnonzero(found < 0)
+            if not len(open_):
+                break
+            # Of the two places of a block the one further on is looked at here, both otherwise with their block.
+            edge = open_[place[open_] % 2 == (step > 0)]
+            hit = row[place[edge]] < below[edge]
+            found[edge[hit]] = k
+            place[edge[~hit]] += step
+            rest = np.flatnonzero(found < 0)
+            place[rest] >>= 1
+        for k in range(int(found.max(initial=0)), 0, -1):
+            down = np.flatnonzero(found >= k)
+            inner = 2 * place[down] + (step < 0)
+            place[down] = inner + np.where(self.common[k - 1][inner] < below[down], 0, step)
+        return place
+
+    def shorter(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of matches the longest beginnings with a larger interval: interval and length."""
+        size = np.maximum(self.common[0][lo], self.common[0][hi]).astype(np.int64)
+        return self.nearest(lo, size, -1), self.nearest(hi, size, 1), np.maximum(size, 0)
+
+    def repeated(self, symbols: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, start, end) of the matches of weight two or more that are ``window`` symbols long or more and can't
+        be extended backwards, by the matching statistics of the sequences."""
+        base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        lane = np.flatnonzero(sizes >= window)
+        place, size = sizes[lane].copy(), np.zeros(len(lane), np.int64)
         lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), self.n)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(lane[:0], place[:0], place[:0])]
         while len(lane):
-            new_lo, new_hi = self.back(flat[base[lane] + at_ - 1], lo, hi)
+            new_lo, new_hi = self.back(symbols[base[lane] + place - 1], lo, hi)
             good = self.weight[new_hi] - self.weight[new_lo] >= 2
-            lo, hi, at_ = np.where(good, new_lo, lo), np.where(good, new_hi, hi), at_ - good
-            over = np.flatnonzero(~good | (at_ == start))
-            if not len(over):
-                continue
-            for k in over[end[over] - at_[over] >= window].tolist():
-                out[lane[k]].append((int(at_[k]), int(end[k])))
-            ended = good[over]
-            # The next window to try: after the first search 0, after a hit the next, after a miss the one behind it.
-            following = np.where(whole[over], 0, np.where(ended, start[over] + 1, at_[over]))
-            limit[over] = np.where(whole[over], np.minimum(limit[over], at_[over] - 1), limit[over])
-            start[over], end[over], at_[over] = following, following + window, following + window
-            lo[over], hi[over] = 0, self.n
-            whole[over] = False
-            stay = np.ones(len(lane), bool)
-            stay[over] = following <= limit[over]
+            lo, hi, place, size = np.where(good, new_lo, lo), np.where(good, new_hi, hi), place - good, size + good
+            over = ~good | (place == 0)
+            told = over & (size >= window)
+            out.append((lane[told], place[told], (place + size)[told]))
+            bad = np.flatnonzero(~good)
+            if len(bad):
+                empty = bad[size[bad] == 0]
+                place[empty] -= 1
+                some = bad[size[bad] > 0]
+                lo[some], hi[some], size[some] = self.shorter(lo[some], hi[some])
+            # Ends never grow, so a match that is to hold a window must end a window from the start or later.
+            stay = (place > 0) & ((place + size >= window) | ~over)
             if not stay.all():
-                lane, start, at_, end, limit, whole, lo, hi = (x[stay] for x in (lane, start, at_, end, limit, whole, lo, hi))
-        return out
+                lane, place, size, lo, hi = (x[stay] for x in (lane, place, size, lo, hi))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def keyed(text: Column) -> list[Column]:
@@ -167,7 +243,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """k1, k2, text, copies: stored once, bucketed by key."""
+    """k1, k2, text, copies: stored once, bucketed by key. The catalog holds the table only while it is resolved."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     x = documents(docs).select(*keyed(text), text.alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -175,125 +251,136 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     name = "driftlens_" + path.rpartition("-")[2]
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     x.repartition(buckets, "k1", "k2").write.bucketBy(buckets, "k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay: the path is given
+    return out
+
+
+SEGMENTS = schema(anchor=LONG, o1=LONG, o2=LONG, start=INT, copies=LONG, words=STRING)
+SEGMENTS_ARROW = pa.schema([("anchor", pa.int64()), ("o1", pa.int64()), ("o2", pa.int64()), ("start", pa.int32()), ("copies", pa.int64()), ("words", pa.string())])
+FOUND = schema(s1=LONG, s2=LONG, lo=INT, hi=INT)
+FOUND_ARROW = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def anchors(texts: DataFrame, window: int, part: int) -> DataFrame:
-    """k1, k2, anchor, segments of the text with that minimizer, n: those of all its copies."""
+    """k1, k2, anchor, n: segments with that minimizer in all copies of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for k1, k2, text, copies in zip(*(b.column(c) for c in range(4)), strict=True):
-                words = text.as_py().encode().split()
-                if len(words) >= window:
-                    found, n = np.unique(minimizers(words, window, part)[0], return_counts=True)
-                    for column, value in zip(out, (np.full(len(found), k1.as_py()), np.full(len(found), k2.as_py()), found, n, n * copies.as_py()), strict=True):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["k1", "k2", "anchor", "segments", "n"])
-
-    return texts.select("k1", "k2", "text", "copies").mapInArrow(run, schema(k1=LONG, k2=LONG, anchor=LONG, segments=LONG, n=LONG))
+            text, anchor, _, _ = Words(b.column(2)).minimizers(window, part)
+            order = np.lexsort((anchor, text))
+            text, anchor = text[order], anchor[order]
+            new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])])) if len(text) else order
+            n = np.diff(np.concatenate([new, [len(text)]])) * b.column(3).to_numpy()[text[new]]
+            own = pa.array(text[new])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(anchor[new], pa.int64()), pa.array(n, pa.int64())], names=["k1", "k2", "anchor", "n"])
 
+    return texts.select("k1", "k2", "text", "copies").mapInArrow(trimmed(run), schema(k1=LONG, k2=LONG, anchor=LONG, n=LONG))
 
-SEGMENTS = schema(hot=T.BooleanType(), anchor=LONG, k1=LONG, k2=LONG, start=INT, copies=LONG, words=STRING, w1=LONG, w2=LONG)
-FOUND = schema(k1=LONG, k2=LONG, lo=INT, hi=INT)
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) + np.uint64(1)) * MULTIPLIER ^ b.view(np.uint64)
 
-def segments(texts: DataFrame, wanted: DataFrame, window: int, part: int) -> DataFrame:
-    """Segments of repeated minimizers; of hot ones each window with the hash of its words.
 
-    wanted: k1, k2, anchors (repeated minimizers of the text), hot (those of them that are hot).
-    """
-    arrow = pa.schema([("hot", pa.bool_()), *((n, pa.int64()) for n in ("anchor", "k1", "k2")), ("start", pa.int32()), ("copies", pa.int64()), ("words", pa.string()), ("w1", pa.int64()), ("w2", pa.int64())])
-
-    def rows(r: dict) -> Iterator[tuple]:
-        words = r["text"].encode().split()
-        cold, hot = set(r["anchors"]), set(r["hot"])
-        for anchor, first, last in zip(*(x.tolist() for x in minimizers(words, window, part)), strict=True):
-            if anchor in hot:
-                for x in range(first, last + 1):
-                    digest = hashlib.blake2b(b" ".join(words[x : x + window]), digest_size=16).digest()
-                    yield True, anchor, r["k1"], r["k2"], x, r["copies"], None, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-            elif anchor in cold:
-                yield False, anchor, r["k1"], r["k2"], first, r["copies"], b" ".join(words[first : last + window]).decode(), None, None
+def cut(window: int, part: int):
+    """Segments of rows (o1, o2, text, copies and the wanted minimizers, or an anchor that stays part of the new one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
         for b in batches:
-            for r in b.to_pylist():
-                for row in rows(r):
-                    out.append(row)
-                    if len(out) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-                        out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-
-    return texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "copies", "anchors", "hot").mapInArrow(run, SEGMENTS)
-
-
-def searched(window: int, part: int):
-    """Found intervals of sorted segment rows (anchor, k1, k2, start, copies, words)."""
-
-    def search(held: list[tuple]) -> pa.RecordBatch:
-        numbers: dict[bytes, int] = {}
-        distinct: dict[bytes, int] = {}
-        weights: list[int] = []
-        for _, _, _, _, copies, words in held:
-            k = distinct.setdefault(words, len(weights))
-            if k == len(weights):
-                weights.append(0)
-            weights[k] += copies
-        sequences = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words.split(b" ")], np.int64) for words in distinct]
-        index = FmIndex(sequences, np.array(weights, np.int64), 2 * window - part + 1)
-        found = index.repeated(sequences, window)
-        out: list[tuple] = [(k1, k2, start + lo, start + hi) for _, k1, k2, start, _, words in held for lo, hi in found[distinct[words]]]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(FOUND_ARROW.types)], schema=FOUND_ARROW)
+            words, more = Words(b.column(2)), b.column(4)
+            text, anchor, first, last = words.minimizers(window, part)
+            if pa.types.is_list(more.type):
+                # Should two pairs mix to the same number, a segment goes along that meets no other.
+                asked = mixed(np.repeat(np.arange(len(more)), pc.list_value_length(more).to_numpy()), more.flatten().to_numpy().astype(np.int64))
+                keep = np.isin(mixed(text, anchor), asked)
+                text, anchor, first, last = (x[keep] for x in (text, anchor, first, last))
+            elif len(text):
+                anchor = mixed(more.to_numpy().view(np.uint64)[text], anchor).view(np.int64)
+            lines = words.joined(first, last + window - 1)
+            start = (first - words.first[text]).astype(np.int32)
+            for k in range(0, len(text), ROWS):
+                own = pa.array(text[k : k + ROWS])
+                line = pa.array([next(lines) for _ in range(len(own))], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[k : k + ROWS], pa.int64()), b.column(0).take(own), b.column(1).take(own), pa.array(start[k : k + ROWS]), b.column(3).take(own), line], schema=SEGMENTS_ARROW)
+
+    return trimmed(run)
+
+
+def searched(window: int, depth: int):
+    """Found intervals of segment rows (anchor, s1, s2, weight, words) that are sorted by anchor."""
+
+    def search(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        s1, s2, weight, words = (pa.concat_arrays([b.column(k) for b in held]) for k in (1, 2, 3, 4))
+        lists = pc.split_pattern(words, " ")
+        symbols = lists.values.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        row, lo, hi = FmIndex(symbols, sizes, weight.to_numpy(), depth).repeated(symbols, sizes, window)
+        own = pa.array(row)
+        return pa.RecordBatch.from_arrays([s1.take(own), s2.take(own), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=FOUND_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = [], 0
-        rows = (r for b in batches for r in zip(*(b.column(c).cast(pa.binary()).to_pylist() if c == 5 else b.column(c).to_pylist() for c in range(6)), strict=True))
-        for _, group in groupby(rows, key=lambda r: r[0]):
-            for r in group:
-                held.append(r)
-                words += r[5].count(b" ") + 1
-            if words >= INDEX_WORDS:
+        held, words, last = [], 0, None
+        for b in batches:
+            anchor = b.column(0).to_numpy()
+            if not len(anchor):
+                continue
+            size = pc.count_substring(b.column(4), " ").to_numpy().astype(np.int64) + 1
+            new = np.flatnonzero(np.concatenate([[anchor[0] != last], anchor[1:] != anchor[:-1]]))
+            before = np.concatenate([[0], np.cumsum(size)])
+            lo = 0
+            while (k := np.searchsorted(before[new], INDEX_WORDS - words + before[lo])) < len(new):
+                held.append(b.slice(lo, new[k] - lo))
                 yield search(held)
-                held, words = [], 0
+                held, words, lo = [], 0, int(new[k])
+            held.append(b.slice(lo))
+            words, last = words + int(before[-1] - before[lo]), anchor[-1]
         if held:
             yield search(held)
 
-    return run
-
+    return trimmed(run)
 
-FOUND_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
+def intervals(rows: DataFrame, window: int, parts: tuple[int, ...], shard: int) -> DataFrame:
+    """o1, o2, spans: what of the owners of segments (a stored table) is repeated. parts[0] has cut them.
 
-def repeats(texts: DataFrame, window: int = WINDOW, part: int = PART, shard: int = SHARD) -> DataFrame:
+    The spans of an owner are bounded by its words.
+    """
+    keys = [F.xxhash64("anchor", "words").alias("s1"), F.xxhash64("words", "anchor").alias("s2")]
+    distinct = stored(rows.groupBy("anchor", "words").agg(F.sum("copies").alias("weight")).select("anchor", "words", "weight", *keys), "segments")
+    sizes = stored(distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).where("weight > 1").select("anchor", "n"), "shards")
+    small = distinct.join(sizes.where(F.col("n") <= shard) if len(parts) > 1 else sizes, "anchor", "left_semi")
+    small = small.select("anchor", "s1", "s2", "weight", "words").repartition("anchor").sortWithinPartitions("anchor")
+    found = small.mapInArrow(searched(window, 2 * window - parts[0] + 1), FOUND).groupBy("s1", "s2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    large = sizes.where(F.col("n") > shard).select("anchor")
+    if len(parts) > 1 and not large.isEmpty():
+        hot = distinct.join(large, "anchor", "left_semi").select(F.col("s1").alias("o1"), F.col("s2").alias("o2"), "words", F.col("weight").alias("copies"), "anchor")
+        again = stored(hot.mapInArrow(cut(window, parts[1]), SEGMENTS), "cut-again")
+        found = found.unionByName(intervals(again, window, parts[1:], shard).withColumnsRenamed({"o1": "s1", "o2": "s2"}))
+    own = rows.select("o1", "o2", "start", *keys).join(stored(found, "found"), ["s1", "s2"])
+    moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi")))
+    return own.groupBy("o1", "o2").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+
+
+def repeats(texts: DataFrame, window: int = WINDOW, parts: tuple[int, ...] = PARTS, shard: int = SHARD) -> DataFrame:
     """k1, k2, spans: for each distinct text with any, the word intervals whose windows also start elsewhere."""
     small_batches(texts.sparkSession)
-    seen = stored(anchors(texts, window, part), "anchors")
-    often = seen.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("segments").alias("segments")).where("n > 1").select("anchor", (F.col("segments") > shard).alias("hot"))
-    wanted = seen.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    cut = stored(segments(texts, wanted, window, part), "segments")
-    cold = cut.where("not hot").select("anchor", "k1", "k2", "start", "copies", "words")
-    found = cold.repartition("anchor").sortWithinPartitions("anchor", "words").mapInArrow(searched(window, part), FOUND)
-    single = cut.where("hot").select("k1", "k2", "start", "copies", "w1", "w2")
-    twice = single.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    found = found.unionByName(single.join(twice, ["w1", "w2"]).select("k1", "k2", F.col("start").alias("lo"), (F.col("start") + window).cast("int").alias("hi")))
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    seen = stored(anchors(texts, window, parts[0]), "anchors")
+    often = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    wanted = seen.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_list("anchor").alias("anchors"))
+    asked = texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "copies", "anchors")
+    rows = stored(asked.mapInArrow(cut(window, parts[0]), SEGMENTS), "text-segments")
+    return intervals(rows, window, parts, shard).withColumnsRenamed({"o1": "k1", "o2": "k2"})
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 RESULT = schema(k1=LONG, k2=LONG, n_words=LONG, n_removed=LONG, kept=STRING, text=STRING)
 
 
-def cleaned(docs: DataFrame, window: int = WINDOW, part: int = PART, shard: int = SHARD) -> DataFrame:
+def cleaned(docs: DataFrame, window: int = WINDOW, parts: tuple[int, ...] = PARTS, shard: int = SHARD) -> DataFrame:
     """For each distinct text: n_words, n_removed, kept (its words joined by a space) and text (the original without the
     removed words and the white space after them)."""
     texts = distinct_texts(docs)
-    spans = stored(repeats(texts, window, part, shard), "spans")
+    spans = stored(repeats(texts, window, parts, shard), "spans")
     x = texts.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans")
     arrow = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("text", pa.string())])
 
@@ -320,7 +407,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW, part: int = PART, shard: int
             new += [pa.array([g[k] for g in got], pa.binary()).cast(pa.string()) for k in (2, 3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], schema=arrow)
 
-    return x.mapInArrow(run, RESULT)
+    return x.mapInArrow(trimmed(run), RESULT)
 
 
 def judged(docs: DataFrame, **how) -> DataFrame:

@@ -301,7 +301,7 @@ def test_substrings(spark, shard):
 
 def test_cut_texts(spark):
     x = spark.createDataFrame([(1, "a  b\nq r s t u\tz"), (2, "  q r s t u v"), (3, None)], "doc_id long, text string").withColumn("k1", F.lit("c"))
-    got = fmindex.without_repeats(x, window=5, part=2)
+    got = fmindex.without_repeats(x, window=5, parts=(2, 5))
     assert got.columns == ["doc_id", "text", "k1"]
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "a  b\nz", 2: "  v", 3: None}
 
@@ -309,7 +309,7 @@ def test_cut_texts(spark):
 def test_index_counts():
     r = np.random.default_rng(2)
     seqs = [r.integers(1, 5, int(r.integers(1, 40))) for _ in range(30)]
-    index = fmindex.FmIndex(seqs, np.ones(30, np.int64), 64)
+    index = fmindex.FmIndex(np.concatenate(seqs), np.array([len(s) for s in seqs]), np.ones(30, np.int64), 64)
     for n in (1, 2, 3, 5):
         seen = Counter(tuple(s[k : k + n]) for s in seqs for k in range(len(s) - n + 1))
         for pattern, count in list(seen.items())[:60]:
@@ -319,6 +319,27 @@ def test_index_counts():
             assert hi[0] - lo[0] == count
 
 
+def test_matching_statistics():
+    r = np.random.default_rng(8)
+    for _ in range(40):
+        seqs = [r.integers(1, int(r.integers(2, 6)), int(r.integers(1, 40))) for _ in range(int(r.integers(1, 25)))]
+        weights = r.integers(1, 3, len(seqs))
+        flat, sizes = np.concatenate(seqs), np.array([len(s) for s in seqs])
+        seen = Counter()
+        for s, w in zip(seqs, weights.tolist()):
+            for n in range(1, len(s) + 1):
+                for k in range(len(s) - n + 1):
+                    seen[tuple(s[k : k + n])] += w
+        for window in (1, 2, 5):
+            got = {}
+            for k, lo, hi in zip(*(x.tolist() for x in fmindex.FmIndex(flat, sizes, weights, 41).repeated(flat, sizes, window))):
+                assert seen[tuple(seqs[k][lo:hi])] > 1 and (not lo or seen[tuple(seqs[k][lo - 1 : hi])] == 1)
+                got.setdefault(k, set()).update(range(lo, hi))
+            for k, s in enumerate(seqs):
+                want = {p for x in range(len(s) - window + 1) if seen[tuple(s[x : x + window])] > 1 for p in range(x, x + window)}
+                assert got.get(k, set()) == want
+
+
 # 8: BPE.
 
 
