@@ -29,7 +29,6 @@ lose all windows; repeated rows are copies; null ids pass; an empty table gives
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlens.llm.common import INT, LONG, STRING, at, documents, schema, scratch, small_batches, stored, trimmed
+from driftlens.llm.common import INT, LONG, STRING, at, documents, merged, schema, scratch, small_batches, stored, trimmed
 
 WINDOW = 35
 #: Words of the parts whose smallest hash names a shard, and of those that cut shards again; the last is the window.
@@ -48,6 +47,8 @@ PARTS = (12, 24, WINDOW)
 SHARD = 2000
 #: Words after which a task closes an index and starts the next.
 INDEX_WORDS = 700_000
+#: Words whose bytes are summed at once.
+DIGITS = 1 << 14
 #: Segments of a batch that goes out.
 ROWS = 20_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -60,15 +61,32 @@ class Words:
         lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
         some = pc.greater(pc.binary_length(texts), 0)
         blank = pc.and_(some, pc.equal(pc.binary_length(pc.list_element(lists, 0)), 0)) if len(texts) else some
+        self.lists = lists
         self.words, ends = lists.values, lists.offsets.to_numpy()
         # A text without words has an empty one.
         self.none = pc.or_(pc.invert(some), blank).to_numpy(zero_copy_only=False)
         self.first, self.count = ends[:-1], np.where(self.none, 0, np.diff(ends))
 
+    def normal(self) -> pa.Array:
+        """Each text as its words, joined by a space."""
+        return pc.binary_join(self.lists, " ")
+
     def hashes(self) -> np.ndarray:
-        coded = self.words.dictionary_encode()
-        each = np.fromiter(map(zlib.crc32, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-        return each[coded.indices.to_numpy()] + np.uint64(1)
+        """A number for each word: its bytes as digits, modulo 2 ** 64, by running sums over a bounded number of words."""
+        data = np.frombuffer(self.words.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(self.words.buffers()[1], np.int32)[self.words.offset : self.words.offset + len(self.words) + 1] if len(self.words) else np.zeros(1, np.int32)
+        out = np.empty(len(self.words), np.uint64)
+        for k in range(0, len(out), DIGITS):
+            edge = ends[k : k + DIGITS + 1].astype(np.int64) - ends[k]
+            powers = np.full(edge[-1] + 1, MULTIPLIER)
+            powers[0] = 1
+            powers = np.cumprod(powers)
+            digits = data[ends[k] : ends[k] + edge[-1]].astype(np.uint64) + np.uint64(1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digits * powers[:-1])])
+            inverse = np.full(edge[-1] + 1, pow(int(MULTIPLIER), -1, 1 << 64), np.uint64)
+            inverse[0] = 1
+            out[k : k + DIGITS] = (total[edge[1:]] - total[edge[:-1]]) * np.cumprod(inverse)[edge[:-1]]
+        return out ^ out >> np.uint64(31)
 
     def minimizers(self, window: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of window starts with one minimizer: text, hash as a signed number, first start, last start (in ``words``)."""
@@ -96,7 +114,8 @@ class Words:
 
     def joined(self, first: np.ndarray, last: np.ndarray) -> Iterator[str]:
         """Words first to last, joined by spaces, a bounded number of rows at a time."""
-        line = b" ".join(self.words.cast(pa.binary()).to_pylist())
+        whole = pa.ListArray.from_arrays(pa.array([0, len(self.words)], pa.int32()), self.words.cast(pa.binary()))
+        line = pc.binary_join(whole, b" ")[0].as_py()
         ends = np.cumsum(pc.binary_length(self.words).to_numpy().astype(np.int64) + 1)
         starts = np.concatenate([[0], ends[:-1]])
         return map(line.__getitem__, map(slice, starts[first].tolist(), (ends[last] - 1).tolist()))
@@ -113,18 +132,19 @@ class FmIndex:
         n = int(ends[-1])
         text = np.zeros(n, np.int64)
         text[np.delete(np.arange(n), ends - 1)] = symbols
-        ranks, order, step = [text.astype(np.int32)], np.argsort(text, kind="stable"), 1
+        ranks, order, step = [text.astype(np.int32)], np.argsort(text), 1
         while step < min(depth, n):
             following = np.zeros(n, np.int64)
             following[: n - step] = ranks[-1][step:] + np.int64(1)
             key = ranks[-1] * np.int64(n + 2) + following
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal ones in any order: no pattern is longer
             ordered = key[order]
             rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
             ranks.append(rank)
             step *= 2
         self.prefixes(ranks, order, np.repeat(ends - 1, sizes + 1) - np.arange(n))
+        self.weights = weights
         self.weight = np.concatenate([[0], np.cumsum(np.repeat(weights, sizes + 1)[order])])
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
         transform = text[order - 1].astype(np.int32)
@@ -142,6 +162,9 @@ class FmIndex:
             self.inside.append((before - np.repeat(before[::8], 8)).astype(np.uint16))
             self.zeros.append(n - int(bit.sum()))
             transform = np.concatenate([transform[bit == 0], transform[bit == 1]])
+        # From a symbol's places on the last level to the suffixes that start with it.
+        every = np.arange(len(self.first))
+        self.shift = self.first - self.last(every, np.zeros(len(every), np.int64))
 
     def prefixes(self, ranks: list[np.ndarray], order: np.ndarray, left: np.ndarray) -> None:
         """Longest common prefix of each suffix and the one before it, -1 at both edges, under minima of 2, 4, 8, ... of them."""
@@ -161,22 +184,18 @@ class FmIndex:
             row = np.concatenate([row, [np.iinfo(np.int32).max]]) if len(row) % 2 else row
             self.common.append(np.minimum(row[::2], row[1::2]).astype(np.int32))
 
-    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before each place of the transform."""
-        low = np.zeros(len(place), np.int64)
+    def last(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where each place is on the last level if its symbol is followed down."""
         for k, level in enumerate(reversed(range(self.levels))):
-            one = (symbol >> level & 1).astype(bool)
-            both = np.concatenate([low, place])
-            word = both >> 6
-            part = np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1)))
+            word = place >> 6
+            part = np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
             seen = self.blocks[k][word >> 3].astype(np.int64) + self.inside[k][word] + part
-            both = np.where(np.concatenate([one, one]), seen + self.zeros[k], both - seen)
-            low, place = both[: len(low)], both[len(low) :]
-        return place - low
+            place = np.where((symbol >> level & 1).astype(bool), seen + self.zeros[k], place - seen)
+        return place
 
     def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with a symbol put before each."""
-        got = self.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.concatenate([self.first[symbol]] * 2)
+        got = self.last(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.concatenate([self.shift[symbol]] * 2)
         return got[: len(lo)], got[len(lo) :]
 
     def nearest(self, place: np.ndarray, below: np.ndarray, step: int) -> np.ndarray:
@@ -206,12 +225,13 @@ class FmIndex:
 
     def repeated(self, symbols: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sequence, start, end) of the matches of weight two or more that are ``window`` symbols long or more and can't
-        be extended backwards, by the matching statistics of the sequences."""
+        be extended backwards, by the matching statistics of the index's sequences. One of weight two matches itself."""
         base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        lane = np.flatnonzero(sizes >= window)
+        whole = np.flatnonzero((sizes >= window) & (self.weights >= 2))
+        lane = np.flatnonzero((sizes >= window) & (self.weights < 2))
         place, size = sizes[lane].copy(), np.zeros(len(lane), np.int64)
         lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), self.n)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(lane[:0], place[:0], place[:0])]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(whole, np.zeros(len(whole), np.int64), sizes[whole])]
         while len(lane):
             new_lo, new_hi = self.back(symbols[base[lane] + place - 1], lo, hi)
             good = self.weight[new_hi] - self.weight[new_lo] >= 2
@@ -402,9 +422,15 @@ def cleaned(docs: DataFrame, window: int = WINDOW, parts: tuple[int, ...] = PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [one(t, c, s) for t, c, s in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            new = [pa.array([g[k] for g in got], t) for k, t in ((0, pa.int64()), (1, pa.int64()))]
-            new += [pa.array([g[k] for g in got], pa.binary()).cast(pa.string()) for k in (2, 3)]
+            # Most texts stay as they are: their words are joined by Arrow.
+            whole = pc.and_(pc.equal(b.column(3), 1), b.column(4).is_null())
+            texts, rest = b.column(2).filter(whole), b.filter(pc.invert(whole))
+            same = Words(texts)
+            got = [one(t, c, s) for t, c, s in zip(rest.column(2).cast(pa.binary()).to_pylist(), rest.column(3).to_pylist(), rest.column(4).to_pylist(), strict=True)]
+            cut_ = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            plain = [pa.array(same.count, pa.int64()), pa.array(np.zeros(len(texts), np.int64)), same.normal(), texts]
+            places = [np.flatnonzero(whole), np.flatnonzero(pc.invert(whole))]
+            new = [merged(b.num_rows, [(places[0], p), (places[1], c.cast(p.type))]) for p, c in zip(plain, cut_, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], schema=arrow)
 
     return x.mapInArrow(trimmed(run), RESULT)
