@@ -6,7 +6,8 @@ fewer words is one window); one scan of a document's normalised text finds every
 are mapped to words and, where there are any, to code point offsets of the original text.
 
 The patterns are the benchmark's, not the documents', and are broadcast. If they exceed BLOCK_BYTES they are cut into
-blocks, each scanned with its own automaton against all documents, with a stored table between.
+blocks, each scanned with its own automaton against all documents, with a stored table between. A worker holds one
+automaton, a batch of texts bounded by bytes (a longer text is a batch alone) and the hits of one text.
 
 Defined cases: a null or empty text, document or item, has no words: no hits, no windows; repeated items and
 items with equal windows are all named; a null item id is named ``null``; rows are kept whatever their id; an
@@ -16,6 +17,8 @@ empty benchmark hits nothing; an empty table gives an empty table; clashing colu
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -43,18 +46,19 @@ def windows(text: bytes | None, size: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def blocks(benchmark: DataFrame, size: int, block_bytes: int) -> list[dict[bytes, list[str]]]:
-    """Windows and the ids of their items, in blocks of bounded bytes. Equal windows of a block share a pattern."""
-    out, held = [{}], 0
+def blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[dict[bytes, list[str]]]:
+    """Windows and the ids of their items, in blocks of bounded bytes, of which the driver holds two. Equal windows of a block
+    share a pattern; at least one block comes."""
+    out, held = {}, 0
     rows = pick(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
     for r in rows.distinct().toLocalIterator():
         for w in windows(r["text"].encode() if r["text"] else None, size):
             if held >= block_bytes:
-                out.append({})
-                held = 0
-            out[-1].setdefault(w, []).append(r["item"])
+                yield out
+                out, held = {}, 0
+            out.setdefault(w, []).append(r["item"])
             held += len(w) + len(r["item"])
-    return out
+    yield out
 
 
 def automaton(patterns: dict[bytes, list[str]]):
@@ -89,23 +93,37 @@ def scan(text: bytes | None, built) -> tuple[int, np.ndarray | None, set[str]]:
     edge = np.zeros(len(words) + 1, np.int32)
     np.add.at(edge, last, -1)
     np.add.at(edge, last - [n for _, (n, _) in found], 1)
-    return len(words), np.cumsum(edge[:-1]) > 0, {i for _, (_, items) in found for i in items}
+    lists = {id(items): items for _, (_, items) in found}
+    return len(words), np.cumsum(edge[:-1]) > 0, {i for items in lists.values() for i in items}
+
+
+_BUILT: dict[str, object] = {}
+
+
+def ready(name: str, patterns) -> object:
+    """One automaton for each worker; name: of the block of patterns."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = automaton(patterns.value)
+    return _BUILT[name]
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
     """The documents with n_words, n_hit, hits (spans of the original) and items (sorted ids)."""
     place = at(docs, "text")
     docs = apart(docs, *FIELDS, "_text")
-    names, text = docs.columns, docs.columns[place]
-    x = docs.withColumn("_text", F.col(f"`{text}`").cast("string"))
-    x = x if keep_text else x.drop(text)
-    names = [n for n in names if keep_text or n != text]
-    parts = blocks(benchmark, size, block_bytes)
-    for k, patterns in enumerate(parts):
-        sent = docs.sparkSession.sparkContext.broadcast(patterns)
-
-        def make(sent=sent):
-            built = automaton(sent.value)
+    text, x, names = docs.columns[place], docs, [n for k, n in enumerate(docs.columns) if keep_text or k != place]
+    if docs.schema.fields[place].dataType != STRING:
+        x = docs.withColumn("_text", F.col(f"`{text}`").cast("string"))
+        x, text = x if keep_text else x.drop(text), "_text"
+    n, coming = 0, blocks(benchmark, size, block_bytes)
+    patterns = next(coming)
+    while patterns is not None:
+        after = next(coming, None)
+        sent, name = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
+
+        def make(sent=sent, name=name):
+            built = ready(name, sent)
 
             def run(texts):
                 out = ([], [], [], [])
@@ -118,16 +136,17 @@ def scanned(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_byt
 
             return run
 
-        last = k == len(parts) - 1
-        fields = {"n_words": LONG, f"_n{k}": LONG, f"_h{k}": SPANS, f"_i{k}": T.ArrayType(STRING)}
-        x = text_mapped(x.drop("n_words"), "_text", make, fields, [c for c in x.columns if c != "n_words" and (len(parts) > 1 or c != "_text")])
-        x = x if last else stored(x, "decontam")
-    if len(parts) == 1:
-        return x.withColumnsRenamed({"_n0": "n_hit", "_h0": "hits", "_i0": "items"}).select(*[F.col(f"`{n}`") for n in names], *FIELDS)
-    return several(x, names, len(parts))
+        fields = {"n_words": LONG, f"_n{n}": LONG, f"_h{n}": SPANS, f"_i{n}": T.ArrayType(STRING)}
+        alone = n == 0 and after is None
+        x = text_mapped(x.drop("n_words"), text, make, fields, [c for c in x.columns if c != "n_words" and (not alone or c in names)])
+        n, patterns = n + 1, after
+        x = x if after is None else stored(x, "decontam")
+    if n == 1:
+        return x.withColumnsRenamed({"_n0": "n_hit", "_h0": "hits", "_i0": "items"}).select(*[F.col(f"`{c}`") for c in names], *FIELDS)
+    return several(x, names, text, n)
 
 
-def several(x: DataFrame, names: list[str], n: int) -> DataFrame:
+def several(x: DataFrame, names: list[str], text: str, n: int) -> DataFrame:
     """Hits of several automata as one: runs are merged and words counted by the runs' words."""
     items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"_i{k}") for k in range(n)]))))
     spans_ = F.array_sort(F.flatten(F.array(*[F.col(f"_h{k}") for k in range(n)])))
@@ -139,7 +158,7 @@ def several(x: DataFrame, names: list[str], n: int) -> DataFrame:
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], s["hi"]).alias("hi")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    x = x.select(*[F.col(f"`{c}`") for c in names], "n_words", merged.alias("hits"), items.alias("items"), "_text")
+    x = x.select(*[F.col(f"`{c}`") for c in names], "n_words", merged.alias("hits"), items.alias("items"), F.col(f"`{text}`").alias("_text"))
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     counted = F.aggregate("hits", F.lit(0).cast("long"), lambda t, s: t + F.regexp_count(F.lower(F.substring(F.col("_text"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))), F.lit(word)))
     return x.withColumn("n_hit", counted).select(*[F.col(f"`{c}`") for c in names], *FIELDS)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from driftlens.llm.common import BINARY, LONG, at, documents, schema, small_batches, stored, text_mapped
+from driftlens.llm.common import BINARY, LONG, at, documents, schema, small_batches, stored, text_mapped, trimmed
 
 WORDS = 3
 RADIUS = 2
@@ -46,8 +46,13 @@ PIECE = 1 << 16
 NEAR_WORDS = 5
 SIMILARITY = 0.8
 SKETCH = 8
-#: Documents that a verifying task holds twice at most.
+#: Bands of the documents of hot sketch values, and hashes of each: at similarity 0.8 two documents share no band with a
+#: probability of about (1 - 0.8 ** 4) ** 22, below 1e-5.
+BANDS = 22
+BAND = 4
+#: Documents, and their shingles, that a verifying task holds twice at most.
 BLOCK = 512
+BLOCK_SHINGLES = 2_000_000
 
 
 def shingles(text: bytes | None, words: int) -> Iterator[list[int]]:
@@ -198,7 +203,7 @@ def union(tables: list[DataFrame]) -> DataFrame:
 def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints are within the radius. fps: distinct fp."""
     rows = sharded(fps, radius)
-    return rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(shard_links(radius), schema(a=LONG, b=LONG))
+    return rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(trimmed(shard_links(radius)), schema(a=LONG, b=LONG))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,23 +244,45 @@ def judged(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFra
 # Near-duplicates by Jaccard similarity of shingle sets.
 
 
+def banded(h: np.ndarray) -> np.ndarray:
+    """A number for each band of a set of hashes: its BAND smallest hashes in as many of all BANDS * BAND bins; bands without any: -1."""
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    np.minimum.at(least, (h >> np.uint64(32)) % np.uint64(BANDS * BAND), h)
+    out = np.zeros(BANDS, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(BAND):
+            out = (out ^ least[k::BAND]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        out = out * np.uint64(2 * BANDS) + np.arange(BANDS, dtype=np.uint64) * np.uint64(2)
+    out[least.reshape(BANDS, BAND).min(1) == 2**64 - 1] = 2**64 - 1
+    return out.view(np.int64)
+
+
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """row, n, counts, sketch for documents with columns row and text, all of the set of distinct shingles.
+    """row, n, counts, sketch, bands for documents with columns row and text, all of the set of distinct shingles.
 
     n: their number; counts: how many fall in each bucket of the hash, a byte a bucket, 255 at most; sketch: the smallest
-    hashes, ascending. There are a quarter to a half as many buckets as shingles, a power of two, 64 at least.
+    hashes, ascending; bands: see ``banded``. There are a quarter to a half as many buckets as shingles, a power of two,
+    64 at least.
     """
 
-    def one(text: bytes | None) -> tuple[int, bytes, list[int]]:
-        h = np.array(sorted({x for got in shingles(text, words) for x in got}), "<u8")
+    def one(text: bytes | None) -> tuple[int, bytes, list[int], list[int]]:
+        h = shingle_set(text, words)
         buckets = 1 << max(6, (len(h) // 4).bit_length())
         counts = np.minimum(np.bincount((h % buckets).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
-        return len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist()
+        bands = banded(h)
+        return len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist(), bands[bands != -1].tolist()
 
     def make():
-        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [])
+        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [], [])
+
+    return text_mapped(docs, "text", make, {"n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG), "bands": T.ArrayType(LONG)}, ["row"])
 
-    return text_mapped(docs, "text", make, {"n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG)}, ["row"])
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    got = [np.array(x, "<u8") for x in shingles(text, words)]
+    return np.unique(np.concatenate(got)) if got else np.zeros(0, "<u8")
 
 
 def folded(counts: np.ndarray) -> np.ndarray:
@@ -292,100 +319,155 @@ class Bound:
         return found
 
 
+def linked_rows(batches: Iterator[pa.RecordBatch], keys: int, links) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each group of rows that agree in the first columns; rows are sorted by them."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    left: list[int] = []
+    right: list[int] = []
+    for _, group in groupby(rows, key=lambda r: r[:keys]):
+        for a, b in links([r[keys:] for r in group]):
+            left.append(a)
+            right.append(b)
+        if len(left) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            left, right = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def bounded_stars(least: float):
-    """Links of rows (key, i, j, block, row, n, counts) sorted by the first three: blocks i and j of a shard.
+    """Links of rows (key, row, n, counts) sorted by key.
 
     The bound links whatever may be of the least similarity; a star for each connected part goes out. Fingerprints do not
     help here: of two texts with nothing but a common line in 500 pairs one is within 20 bits, which joins a hot shard.
     """
 
-    def rows(batches):
-        for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
-            members = sorted((m[4:] for m in group), key=lambda m: (m[1], m[0]))
-            if len(members) < 2:
-                continue
-            names = [m[0] for m in members]
-            parent = list(range(len(names)))
-            n = np.array([m[1] for m in members], np.int64)
-            bound, low = Bound(n, [m[2] for m in members], least), 0
-            for k in range(len(members)):
-                while n[low] < least * n[k]:
-                    low += 1
-                for m in bound.similar(k, low):
-                    if (a := root(parent, m)) != (b := root(parent, k)):
-                        parent[max(a, b)] = min(a, b)
-            for k, name in enumerate(names):
-                if (r := root(parent, k)) != k:
-                    left.append(name)
-                    right.append(names[r])
-            if len(left) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-                left, right = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return run
-
+    def links(members: list[tuple]) -> Iterator[tuple[int, int]]:
+        members.sort(key=lambda m: (m[1], m[0]))
+        parent, n = list(range(len(members))), np.array([m[1] for m in members], np.int64)
+        bound, low = Bound(n, [m[2] for m in members], least), 0
+        for k in range(len(members)):
+            while n[low] < least * n[k]:
+                low += 1
+            for m in bound.similar(k, low):
+                if (a := root(parent, m)) != (b := root(parent, k)):
+                    parent[max(a, b)] = min(a, b)
+        for k in range(len(members)):
+            if (r := root(parent, k)) != k:
+                yield members[k][0], members[r][0]
 
-def paired_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """The rows, which have a number of blocks, under each pair (i, j) of blocks of their key that theirs is in."""
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = [c for c in rows.columns if c not in (key, "blocks")]
-    return dealt.select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *rest)
+    return trimmed(lambda batches: linked_rows(batches, 1, links))
 
 
 def candidates(sketches: DataFrame, least: float) -> DataFrame:
-    """Links between documents that share a sketch value and may be of the least similarity.
+    """Links whose components hold every pair of documents that share a sketch value and have the least similarity.
 
-    The documents of a value are dealt in blocks of about half of SHARD; a task gets two blocks, and together the tasks
-    have every pair of blocks, so one shared value is enough however many documents share it.
+    Shards are the documents of a sketch value. What a shard of more than SHARD documents has goes by bands instead, in
+    shards of a band; a band that more than SHARD of those share is one star: its documents are of one component without
+    being compared, which costs the verification and loses nothing.
     """
-    keys = sketches.select("row", F.explode("sketch").alias("key"))
-    shared = keys.groupBy("key").agg(F.ceil(2 * F.count("*") / SHARD).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt = stored(paired_blocks(keys.join(shared, "key"), "key"), "sketch-shards")
-    rows = dealt.join(sketches.select("row", "n", "counts"), "row").select("key", "i", "j", "block", "row", "n", "counts")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(bounded_stars(least), schema(a=LONG, b=LONG))
-
-
-def similar(own: set[int], other: set[int], least: float) -> bool:
-    small, large = sorted((own, other), key=len)
-    if len(small) < least * len(large):
+    keys = stored(sketches.select("row", F.explode("sketch").alias("key")), "sketch-keys")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    small = keys.join(sizes.where(F.col("n") <= SHARD).select("key"), "key")
+    hot = keys.join(sizes.where(F.col("n") > SHARD).select("key"), "key").select("row").distinct()
+    bands = stored(sketches.select("row", "bands").join(hot, "row").select("row", F.explode("bands").alias("key")), "band-keys")
+    sizes = stored(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "band-sizes")
+    small = small.unionByName(bands.join(sizes.where(F.col("n") <= SHARD).select("key"), "key"))
+    rows = small.join(sketches.select("row", "n", "counts"), "row").select("key", "row", "n", "counts")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(bounded_stars(least), schema(a=LONG, b=LONG))
+    wide = bands.join(sizes.where(F.col("n") > SHARD).select("key", "first"), "key").select(F.col("row").alias("a"), F.col("first").alias("b")).where("a <> b")
+    return found.unionByName(wide)
+
+
+def similar(own: np.ndarray, other: np.ndarray, least: float) -> bool:
+    small, large = (own, other) if len(own) <= len(other) else (other, own)
+    if not len(small) or len(small) < least * len(large):
         return False
-    both = len(small & large)
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
     return both >= least * (len(small) + len(large) - both)
 
 
 def verified(words: int, least: float):
-    """Links of exact similarity, from rows (group, i, j, block, row, text) sorted by them: blocks i and j of a group.
+    """Links of exact similarity, from rows (key, row, part, text) sorted by key. Rows of one part are known to be
+    connected; those that are connected already are not compared again."""
+
+    def links(members: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = sorted(((row, part, shingle_set(text, words)) for row, part, text in members), key=lambda m: len(m[2]))
+        parent, first, low = list(range(len(sets))), {}, 0
+        for k, (_, part, _) in enumerate(sets):
+            parent[k] = first.setdefault(part, k)
+        for k, (row, _, own) in enumerate(sets):
+            while len(sets[low][2]) < least * len(own):
+                low += 1
+            for m in range(k - 1, low - 1, -1):
+                if (a := root(parent, m)) != (b := root(parent, k)) and similar(sets[m][2], own, least):
+                    parent[max(a, b)] = min(a, b)
+                    yield row, sets[m][0]
+
+    return trimmed(lambda batches: linked_rows(batches, 1, links))
+
+
+def parted(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of (group, row, n) with part: the smallest row of those that links connect them to."""
+    roots = components(links).select(F.col("node").alias("row"), F.col("root").alias("part"))
+    return groups.drop("part").join(roots, "row", "left").select("group", "row", "n", F.coalesce("part", "row").alias("part"))
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """group, blocks: as many as hold at most BLOCK rows and BLOCK_SHINGLES shingles each, about."""
+    return rows.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
 
-    Pairs that are already connected within the task are not compared again.
+
+def exact(groups: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """All links that connect the documents of each candidate group (group, row, n) by exact similarity.
+
+    Each text goes to one block of its group first, then one document of each connected part does, until the parts of a
+    group fit a block or no longer meet. What is not in a group's largest part by then is compared with all of the
+    group's other parts, in pairs of blocks: that has as many rows as there are documents outside, not pairs of copies.
     """
 
-    def rows(batches):
-        for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+    def compared(rows: DataFrame) -> DataFrame:
+        x = rows.select("key", "row", "part").join(texts, "row").select("key", "row", "part", "text")
+        return stored(x.repartition("key").sortWithinPartitions("key").mapInArrow(verified(words, least), schema(a=LONG, b=LONG)), "exact-links")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), group in groupby(rows(batches), key=lambda r: r[:3]):
-            members = [(block, row, {h for got in shingles(text, words) for h in got}) for _, _, _, block, row, text in group]
-            members.sort(key=lambda m: len(m[2]))
-            parent, left, right, low = list(range(len(members))), [], [], 0
-            for k, (block, row, own) in enumerate(members):
-                while len(members[low][2]) < least * len(own):
-                    low += 1
-                for m in range(k - 1, low - 1, -1):
-                    if (i == j or members[m][0] != block) and (a := root(parent, m)) != (b := root(parent, k)) and similar(members[m][2], own, least):
-                        parent[max(a, b)] = min(a, b)
-                        left.append(row)
-                        right.append(members[m][1])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+    def dealt(rows: DataFrame, seed: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("row", F.lit(seed)), F.col("blocks"))
+        return rows.join(blocks_of(rows), "group").withColumn("key", F.struct("group", block.alias("block")))
 
-    return run
+    rows = stored(groups.withColumn("part", F.col("row")), "candidate-groups")
+    asked, links, known, seed = rows, None, None, 0
+    while True:
+        found = compared(dealt(asked, seed))
+        links = found if links is None else links.unionByName(found)
+        rows = stored(parted(rows, links), "parts")
+        several = rows.groupBy("group").agg(F.count_distinct("part").alias("parts")).where("parts > 1")
+        asked = stored(rows.where("row = part").join(several, "group", "left_semi"), "one-of-each-part")
+        # Groups that a single block has seen as a whole are done.
+        wide = blocks_of(rows.join(several.select("group"), "group", "left_semi")).where("blocks > 1").select("group")
+        asked = stored(asked.join(wide, "group", "left_semi"), "open-parts")
+        n = asked.count()
+        if not n:
+            return links
+        if known is not None and n > 0.7 * known:
+            break
+        known, seed = n, seed + 1
+    # The rest: rows outside the largest part of their group meet every block.
+    left = rows.join(asked.select("group").distinct(), "group", "left_semi")
+    size = left.groupBy("group", "part").agg(F.count("*").alias("size"))
+    largest = size.groupBy("group").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
+    left = stored(left.join(largest, "group").withColumn("outside", F.col("part") != F.col("largest")), "unconnected")
+    few = blocks_of(left.where("outside")).withColumnRenamed("blocks", "few")
+    many = blocks_of(left.where("not outside")).withColumnRenamed("blocks", "many")
+    left = left.join(few, "group").join(many, "group")
+    own, other = F.pmod(F.xxhash64("row"), F.col("few")).cast("int"), F.pmod(F.xxhash64("row"), F.col("many")).cast("int")
+    # A block of those outside meets each of them once, as (least, greatest), and each block of the largest part.
+    apart = left.where("outside").select("group", "row", "part", "few", "many", own.alias("own"))
+    inner = apart.select("row", "part", "group", "own", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("o"))
+    inner = inner.select(F.struct("group", F.lit(0).alias("kind"), F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j")).alias("key"), "row", "part")
+    outer = apart.select("row", "part", "group", "own", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("o"))
+    outer = outer.select(F.struct("group", F.lit(1).alias("kind"), F.col("own").alias("i"), F.col("o").alias("j")).alias("key"), "row", "part")
+    main = left.where("not outside").select("row", "part", "group", other.alias("o"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"))
+    main = main.select(F.struct("group", F.lit(1).alias("kind"), F.col("i"), F.col("o").alias("j")).alias("key"), "row", "part")
+    return links.unionByName(compared(inner.unionByName(outer).unionByName(main)))
 
 
 def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -399,15 +481,14 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIM
     normal = F.array_join(F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r ABCDEFGHIJKLMNOPQRSTUVWXYZ", "      abcdefghijklmnopqrstuvwxyz"), " ", -1), ""), " ")
     named = stored(docs.select("row", F.sha2(F.encode(normal, "UTF-8"), 256).alias("words")), "equal-words")
     first = stored(named.groupBy("words").agg(F.min("row").alias("row"), F.count("*").alias("n")), "distinct-words")
-    sketches = stored(sketched(docs.select("row", "text"), words), "all-sketches").join(first.select("row"), "row", "left_semi")
+    # All rows are sketched where they lie; to choose one of equal words first would exchange the texts.
+    sketches = stored(sketched(docs.select("row", "text"), words), "all-sketches")
+    sketches = stored(sketches.join(first.select("row"), "row", "left_semi"), "sketches")
     groups = components(candidates(sketches, least))
-    whole = stored(groups.select(F.col("node").alias("row"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("row"), F.col("root").alias("group")).distinct()), "candidate-groups")
-    sizes = whole.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # Documents of a group in blocks; a task gets two blocks, and together the tasks have every pair of blocks.
-    dealt = paired_blocks(whole.join(sizes, "group"), "group")
-    texts = docs.select("row", "text").join(dealt, "row").select("group", "i", "j", "block", "row", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    sure = texts.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(verified(words, least), schema(a=LONG, b=LONG))
-    roots = components(sure)
+    whole = groups.select(F.col("node").alias("row"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("row"), F.col("root").alias("group")).distinct())
+    whole = whole.join(sketches.select("row", "n"), "row").select("group", "row", "n")
+    texts = docs.select("row", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    roots = components(exact(whole, texts, words, least))
     kept = first.select("words", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("words", F.coalesce("root", "row").alias("root"))
     return named.join(kept, "words").select("row", "root")
 

@@ -109,6 +109,26 @@ def test_one_shared_value_is_enough_in_hot_shards(spark, monkeypatch):
     assert [r["doc_id"] for r in simhash.one_of_each(df).collect()] == [0]
 
 
+@pytest.mark.parametrize("shard,block,shingles", [(8, 16, 1 << 20), (20, 300, 3000)])
+def test_large_groups_are_exact(spark, monkeypatch, shard, block, shingles):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+    r = np.random.default_rng(12)
+    fresh = lambda n: [f"w{k}" for k in r.integers(0, 1 << 40, n)]
+    common, families, made = fresh(40), [fresh(120) for _ in range(5)], []
+    for k in range(220):
+        words = list(families[k % 5])
+        for _ in range(int(r.integers(0, 5))):
+            at_ = int(r.integers(len(words)))
+            words[at_ : at_ + int(r.integers(0, 4))] = fresh(int(r.integers(0, 6)))
+        made.append((k, " ".join(words + common) if k % 3 else " ".join(fresh(int(r.integers(1, 60))) + common)))
+    groups = jaccard_groups(made)
+    assert 20 < len(set(groups)) < 200
+    got = simhash.near_duplicates(spark.createDataFrame(made, "row long, text string"))
+    assert dict(map(tuple, got.collect())) == dict(enumerate(groups))
+
+
 # 2: chat.
 
 
