@@ -81,14 +81,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame, collect: bool = True) -> None:
+    """Deletes stored tables once all that reads them is stored as well.
+
+    With collect the driver's garbage goes too: Spark keeps the shuffle files of ended jobs until then.
+    """
+    for t in tables:
+        removed(t.sparkSession, t.scratch_path)
+    if collect and tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes this application's scratch tables; call it once its results have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    removed(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlens.llm.common import INT, LONG, STRING, at, documents, merged, schema, scratch, small_batches, stored, trimmed
+from driftlens.llm.common import INT, LONG, STRING, at, documents, forget, merged, schema, scratch, small_batches, stored, trimmed
 
 WINDOW = 35
 #: Words of the parts whose smallest hash names a shard, and of those that cut shards again; the last is the window.
@@ -361,34 +361,41 @@ def searched(window: int, depth: int):
 
 
 def intervals(rows: DataFrame, window: int, parts: tuple[int, ...], shard: int) -> DataFrame:
-    """o1, o2, spans: what of the owners of segments (a stored table) is repeated. parts[0] has cut them.
+    """o1, o2, spans: what of the owners of segments (a stored table, deleted here) is repeated. parts[0] has cut them.
 
-    The spans of an owner are bounded by its words.
+    The spans of an owner are bounded by its words. The result is stored; segments are left behind as places.
     """
     keys = [F.xxhash64("anchor", "words").alias("s1"), F.xxhash64("words", "anchor").alias("s2")]
     distinct = stored(rows.groupBy("anchor", "words").agg(F.sum("copies").alias("weight")).select("anchor", "words", "weight", *keys), "segments")
+    places = stored(rows.select("o1", "o2", "start", *keys), "places")
+    forget(rows)
     sizes = stored(distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).where("weight > 1").select("anchor", "n"), "shards")
     small = distinct.join(sizes.where(F.col("n") <= shard) if len(parts) > 1 else sizes, "anchor", "left_semi")
     small = small.select("anchor", "s1", "s2", "weight", "words").repartition("anchor").sortWithinPartitions("anchor")
     found = small.mapInArrow(searched(window, 2 * window - parts[0] + 1), FOUND).groupBy("s1", "s2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found, again = stored(found, "found"), None
+    both = found
     large = sizes.where(F.col("n") > shard).select("anchor")
     if len(parts) > 1 and not large.isEmpty():
         hot = distinct.join(large, "anchor", "left_semi").select(F.col("s1").alias("o1"), F.col("s2").alias("o2"), "words", F.col("weight").alias("copies"), "anchor")
-        again = stored(hot.mapInArrow(cut(window, parts[1]), SEGMENTS), "cut-again")
-        found = found.unionByName(intervals(again, window, parts[1:], shard).withColumnsRenamed({"o1": "s1", "o2": "s2"}))
-    own = rows.select("o1", "o2", "start", *keys).join(stored(found, "found"), ["s1", "s2"])
+        again = intervals(stored(hot.mapInArrow(cut(window, parts[1]), SEGMENTS), "cut-again"), window, parts[1:], shard)
+        both = found.unionByName(again.withColumnsRenamed({"o1": "s1", "o2": "s2"}))
+    forget(distinct, sizes)
     moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi")))
-    return own.groupBy("o1", "o2").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    out = stored(places.join(both, ["s1", "s2"]).groupBy("o1", "o2").agg(F.flatten(F.collect_list(moved)).alias("spans")), "spans")
+    forget(places, found, *([again] if again else []))
+    return out
 
 
 def repeats(texts: DataFrame, window: int = WINDOW, parts: tuple[int, ...] = PARTS, shard: int = SHARD) -> DataFrame:
-    """k1, k2, spans: for each distinct text with any, the word intervals whose windows also start elsewhere."""
+    """k1, k2, spans, stored: for each distinct text with any, the word intervals whose windows also start elsewhere."""
     small_batches(texts.sparkSession)
     seen = stored(anchors(texts, window, parts[0]), "anchors")
     often = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     wanted = seen.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_list("anchor").alias("anchors"))
     asked = texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "copies", "anchors")
     rows = stored(asked.mapInArrow(cut(window, parts[0]), SEGMENTS), "text-segments")
+    forget(seen)
     return intervals(rows, window, parts, shard).withColumnsRenamed({"o1": "k1", "o2": "k2"})
 
 
@@ -400,7 +407,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW, parts: tuple[int, ...] = PART
     """For each distinct text: n_words, n_removed, kept (its words joined by a space) and text (the original without the
     removed words and the white space after them)."""
     texts = distinct_texts(docs)
-    spans = stored(repeats(texts, window, parts, shard), "spans")
+    spans = repeats(texts, window, parts, shard)
     x = texts.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans")
     arrow = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("text", pa.string())])
 

@@ -21,6 +21,7 @@ component's smallest unless it has no other; an empty table gives an empty table
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import groupby, repeat
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from driftlens.llm.common import BINARY, LONG, at, documents, schema, small_batches, stored, text_mapped, trimmed
+from driftlens.llm.common import BINARY, LONG, at, documents, forget, schema, small_batches, stored, text_mapped, trimmed
 
 WORDS = 3
 RADIUS = 2
@@ -218,10 +219,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.where("a <> b").distinct(), "large-star")
+        before, large = edges, stored(large.where("a <> b").distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a <> b").distinct(), "small-star")
+        forget(before, large, collect=False)
         now = state(edges)
         if now == known:
             break
@@ -259,24 +261,24 @@ def banded(h: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """row, n, counts, sketch, bands for documents with columns row and text, all of the set of distinct shingles.
+    """row, words, n, counts, sketch, bands for documents with columns row and text, all of the set of distinct shingles.
 
-    n: their number; counts: how many fall in each bucket of the hash, a byte a bucket, 255 at most; sketch: the smallest
+    words: a digest of the sequence of words; n: their number; counts: how many fall in each bucket of the hash, a byte a bucket, 255 at most; sketch: the smallest
     hashes, ascending; bands: see ``banded``. There are a quarter to a half as many buckets as shingles, a power of two,
     64 at least.
     """
 
-    def one(text: bytes | None) -> tuple[int, bytes, list[int], list[int]]:
-        h = shingle_set(text, words)
+    def one(text: bytes | None) -> tuple[bytes, int, bytes, list[int], list[int]]:
+        h, line = shingle_set(text, words), b" ".join((text or b"").lower().split())
         buckets = 1 << max(6, (len(h) // 4).bit_length())
         counts = np.minimum(np.bincount((h % buckets).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
         bands = banded(h)
-        return len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist(), bands[bands != -1].tolist()
+        return hashlib.sha256(line).digest(), len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist(), bands[bands != -1].tolist()
 
     def make():
-        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [], [])
+        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [], [], [])
 
-    return text_mapped(docs, "text", make, {"n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG), "bands": T.ArrayType(LONG)}, ["row"])
+    return text_mapped(docs, "text", make, {"words": BINARY, "n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG), "bands": T.ArrayType(LONG)}, ["row"])
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -478,17 +480,19 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIM
     """
     spark = docs.sparkSession
     small_batches(spark)
-    normal = F.array_join(F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r ABCDEFGHIJKLMNOPQRSTUVWXYZ", "      abcdefghijklmnopqrstuvwxyz"), " ", -1), ""), " ")
-    named = stored(docs.select("row", F.sha2(F.encode(normal, "UTF-8"), 256).alias("words")), "equal-words")
-    first = stored(named.groupBy("words").agg(F.min("row").alias("row"), F.count("*").alias("n")), "distinct-words")
     # All rows are sketched where they lie; to choose one of equal words first would exchange the texts.
-    sketches = stored(sketched(docs.select("row", "text"), words), "all-sketches")
-    sketches = stored(sketches.join(first.select("row"), "row", "left_semi"), "sketches")
+    every = stored(sketched(docs.select("row", "text"), words), "all-sketches")
+    named = stored(every.select("row", "words"), "equal-words")
+    first = stored(named.groupBy("words").agg(F.min("row").alias("row")), "distinct-words")
+    sketches = stored(every.drop("words").join(first.select("row"), "row", "left_semi"), "sketches")
+    forget(every)
     groups = components(candidates(sketches, least))
     whole = groups.select(F.col("node").alias("row"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("row"), F.col("root").alias("group")).distinct())
-    whole = whole.join(sketches.select("row", "n"), "row").select("group", "row", "n")
+    whole = stored(whole.join(sketches.select("row", "n"), "row").select("group", "row", "n"), "candidates")
+    forget(sketches)
     texts = docs.select("row", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     roots = components(exact(whole, texts, words, least))
+    forget(whole)
     kept = first.select("words", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("words", F.coalesce("root", "row").alias("root"))
     return named.join(kept, "words").select("row", "root")
 
