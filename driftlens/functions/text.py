@@ -47,13 +47,25 @@ def fnv1a(s: Column) -> Column:
     return F.aggregate(codes, F.lit(FNV_OFFSET).cast(high), fold)
 
 
+#: What is documentation by its name, folder or extension, build languages, and folders of configuration.
+DOC_NAMES = ("readme", "changelog", "changes", "license", "licence", "contributing", "authors", "notice", "history", "security", "code_of_conduct")
+DOC_DIRS, DOC_EXTENSIONS = ("doc", "docs", "documentation"), ("adoc", "rst", "md", "markdown")
+PROSE, DATA, BUILD = ("markdown", "rst"), ("json", "yaml", "toml", "ini", "nix", "jsonnet"), ("make", "cmake")
+CHORE_DIRS = (".github", ".gitlab", ".circleci", ".husky", ".devcontainer")
+
+
 def path_kind(path: Column) -> Column:
-    """docs, test, chore or code."""
-    p = F.lower(path)
+    """docs, test, chore or code: by the language of the name, then by folders; what has no language is no code."""
+    spec = language(path, F.lit(""))
+    name = F.regexp_extract(path, r"[^/]*$", 0)
+    stem, extension = F.lower(F.substring_index(name, ".", 1)), F.regexp_extract(name, r"\.([^.]*)$", 1)
+    inside = lambda dirs: F.arrays_overlap(F.split(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "/"), F.array(*[F.lit(d) for d in dirs]))
+    none = spec.isNull()
     return (
-        F.when(p.rlike(r"\.(md|rst|txt|adoc)$") | p.rlike(r"(^|/)docs?/"), "docs")
-        .when(is_test(p), "test")
-        .when(p.rlike(r"(^|/)\.github/|\.(toml|lock|ya?ml|cfg|ini)$|(^|/)(makefile|dockerfile)$"), "chore")
+        F.when(F.coalesce(spec.isin(*PROSE), F.lit(False)) | none & stem.isin(*DOC_NAMES), "docs")
+        .when(is_test(path), "test")
+        .when(none & (inside(DOC_DIRS) | extension.isin(*DOC_EXTENSIONS)), "docs")
+        .when(none | spec.isin(*DATA, *BUILD) | inside(CHORE_DIRS) | is_generated(path), "chore")
         .otherwise("code")
     )
 
@@ -62,9 +74,21 @@ def is_test(path: Column) -> Column:
     return path.rlike(r"(^|/)tests?/") | path.rlike(r"(^|/)test_[^/]*$") | path.rlike(r"[_.](test|spec)\.[^/]*$")
 
 
+#: Names, parts of names, ends and folders of what tools write.
+LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "go.sum", "poetry.lock", "Gemfile.lock", "composer.lock", "flake.lock", "uv.lock")
+WRITTEN_ENDS = ("_generated.go", ".min.js", ".min.css", ".map", ".pb.go", "_pb2.py", ".snap")
+WRITTEN_DIRS = ("/generated/", "/vendor/", "/node_modules/")
+
+
 def is_generated(path: Column) -> Column:
     """Lock files, minified and generated names, vendored folders."""
-    return path.rlike(r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|Cargo\.lock|poetry\.lock|go\.sum|uv\.lock)$") | path.rlike(r"(\.min\.(js|css)|\.pb\.go|_pb2\.py|\.generated\.[a-z]+)$") | path.rlike(r"(^|/)(generated|vendor|node_modules)/")
+    name = F.regexp_extract(path, r"[^/]*$", 0)
+    found = name.isin(*LOCKFILES) | name.startswith("_generated.") | name.contains(".generated.")
+    for end in WRITTEN_ENDS:
+        found = found | name.endswith(end)
+    for folder in WRITTEN_DIRS:
+        found = found | path.contains(folder)
+    return found
 
 
 def glob(pattern: str) -> str:

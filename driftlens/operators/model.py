@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators.graph import cut
+
 from driftlens.operators.report import ranked
 
 
@@ -35,24 +37,29 @@ def policy(p: Column, noise: Column, hide: float = 0.9, unhide: float = 0.2) ->
 def auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by rank sums, ties counted half. rows: score, label 0/1.
 
-    Ranks come from counts of distinct scores: the window runs over scores rounded to four decimals, 10,001 at most in [0, 1].
+    Distinct scores are dealt in ranges; a range is ranked by itself and starts after the counts of the ranges before it.
     """
     by = by or []
-    each = rows.groupBy(*by, F.round("score", 4).alias("score")).agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = each.withColumn("mid", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    dealt = cut(each.repartitionByRange(parts, *by, "score").withColumn("_part", F.spark_partition_id()))
+    until = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges_ = dealt.groupBy(*by, "_part").agg(F.sum("n").alias("n"))  # a number for each range and group
+    starts = ranges_.select(*by, "_part", until(Window.partitionBy(*by).orderBy("_part")).alias("start"))
+    ranked = dealt.withColumn("inside", until(Window.partitionBy(*by, "_part").orderBy("score"))).join(starts.hint("broadcast") if not by else starts, [*by, "_part"])
+    ranked = ranked.withColumn("mid", F.col("start") + F.col("inside") + (F.col("n") + 1) / 2)
     got = ranked.groupBy(*by).agg(F.sum(F.col("mid") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"))
     return got.select(*by, F.round((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0)), 6).alias("auc"))
 
 
 def calibration(rows: DataFrame) -> DataFrame:
-    """Brier score, and errors at thresholds 0.1 to 0.9."""
-    t = rows.crossJoin(rows.sparkSession.range(1, 10).select((F.col("id") / 10).alias("threshold")).hint("broadcast"))
-    return t.groupBy("threshold").agg(
-        F.count_if((F.col("score") >= F.col("threshold")) & (F.col("label") == 0)).alias("wrong_hides"),
-        F.count_if((F.col("score") < F.col("threshold")) & (F.col("label") == 1)).alias("missed"),
-        F.round(F.avg(F.pow(F.col("score") - F.col("label"), 2)), 6).alias("brier"),
-    )
+    """Brier score, and errors at thresholds 0.1 to 0.9, in one pass over the rows."""
+    at = lambda k: F.lit(k) / 10
+    sums = [F.count_if((F.col("score") >= at(k)) & (F.col("label") == 0)).alias(f"h{k}") for k in range(1, 10)]
+    sums += [F.count_if((F.col("score") < at(k)) & (F.col("label") == 1)).alias(f"m{k}") for k in range(1, 10)]
+    one = rows.agg(*sums, F.round(F.avg(F.pow(F.col("score") - F.col("label"), 2)), 6).alias("brier"))
+    each = F.array(*[F.struct(at(k).alias("threshold"), F.col(f"h{k}").alias("wrong_hides"), F.col(f"m{k}").alias("missed")) for k in range(1, 10)])
+    return one.select(F.explode(each).alias("x"), "brier").where("brier is not null").select("x.threshold", "x.wrong_hides", "x.missed", "brier")
 
 
 def rates(rows: DataFrame, cuts: list[str], value: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Interval joins: facts at rows, spans and outside findings brought to the hunks that cover them.
 
-Every join has the equi-key (review, file), so rows meet by hash or sort-merge with the interval as a residual filter,
-never in a nested loop. Tables: hunks (review, file, hunk, n0, n1 new rows, o0, o1 old rows, both inclusive, the empty side
+Every join has the equi-key (review, file, bin of rows), so rows meet by hash or sort-merge with the interval as a residual
+filter, never in a nested loop, and a file's rows are dealt by their place in it. Tables: hunks (review, file, hunk, n0, n1 new rows, o0, o1 old rows, both inclusive, the empty side
 ending before it starts), facts (review, file, row_no, name, kind), spans (review, file, name, lo, hi, ...).
 """
 
@@ -14,9 +14,21 @@ KEY = ["review", "file"]
 HUNK = [*KEY, "hunk"]
 
 
+#: Rows of a bin: points and ranges meet by bin, so a file with very many of both is cut.
+BIN = 64
+
+
+def inside(points: DataFrame, row: str, ranges: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Points with each range of their file that holds them, ends included: ranges are put in the bins that they touch, a
+    point is in one, so every pair meets once."""
+    p = points.withColumn("_bin", F.floor(F.col(row) / BIN))
+    r = ranges.where(F.col(hi) >= F.col(lo)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lo) / BIN), F.floor(F.col(hi) / BIN))))
+    return p.join(r, [*KEY, "_bin"]).where(F.col(row).between(F.col(lo), F.col(hi))).drop("_bin")
+
+
 def covered(facts: DataFrame, hunks: DataFrame, row: str = "row_no", lo: str = "n0", hi: str = "n1") -> DataFrame:
     """Facts with each hunk whose range holds their row."""
-    return facts.join(hunks, KEY).where(F.col(row).between(F.col(lo), F.col(hi)))
+    return inside(facts, row, hunks, lo, hi)
 
 
 def overlapping(spans: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -39,7 +51,7 @@ def category(hunks: DataFrame, facts: DataFrame) -> DataFrame:
 
 def innermost(hunks: DataFrame, spans: DataFrame) -> DataFrame:
     """The smallest span that holds a hunk's first new row; ties: the earlier, then by name."""
-    held = spans.join(hunks.select(*HUNK, "n0"), KEY).where(F.col("n0").between(F.col("lo"), F.col("hi")))
+    held = inside(hunks.select(*HUNK, "n0"), "n0", spans, "lo", "hi")
     best = held.groupBy(*HUNK).agg(F.min_by("name", F.struct(F.col("hi") - F.col("lo"), "lo", "name")).alias("enclosing"))
     return hunks.select(*HUNK).join(best, HUNK, "left")
 
@@ -65,7 +77,7 @@ def member_only(hunks: DataFrame, facts: DataFrame) -> DataFrame:
 
 def smells(hunks: DataFrame, spans: DataFrame, lines: int = 60, depth: int = 4, params: int = 6) -> DataFrame:
     """Structural notes on definitions that start in a hunk: at least so many lines, levels or parameters."""
-    starts = spans.join(hunks.select(*HUNK, "n0", "n1"), KEY).where(F.col("lo").between(F.col("n0"), F.col("n1")))
+    starts = inside(spans, "lo", hunks.select(*HUNK, "n0", "n1"), "n0", "n1")
     worst = starts.groupBy(*HUNK).agg(F.max(F.col("hi") - F.col("lo") + 1).alias("lines"), F.max("depth").alias("depth"), F.max("params").alias("params"))
     said = [F.when(F.col(c) >= limit, F.concat(F.lit(f"{text} "), F.col(c).cast("string"))) for c, limit, text in (("lines", lines, "large:"), ("depth", depth, "deep:"), ("params", params, "params:"))]
     return worst.select(*HUNK, F.concat_ws("; ", *said).alias("notes")).where("notes <> ''")
@@ -125,7 +137,7 @@ def matched(hunks: DataFrame, rows: DataFrame) -> DataFrame:
 def split_insertions(hunks: DataFrame, spans: DataFrame, most: int = 60) -> DataFrame:
     """Pure insertions whose last row is more than ``most`` after the first, cut at every span start inside."""
     pure = hunks.where((F.col("o1") < F.col("o0")) & (F.col("n1") - F.col("n0") > most)).select(*HUNK, "n0", "n1")
-    cuts = spans.join(pure, KEY).where((F.col("lo") > F.col("n0")) & (F.col("lo") <= F.col("n1"))).select(*HUNK, "n1", F.col("lo").alias("start"))
+    cuts = inside(spans, "lo", pure, "n0", "n1").where("lo > n0").select(*HUNK, "n1", F.col("lo").alias("start"))
     starts = cuts.unionByName(pure.select(*HUNK, "n1", F.col("n0").alias("start"))).dropDuplicates()
     following = F.lead("start").over(Window.partitionBy(*HUNK).orderBy("start"))
     return starts.select(*HUNK, "start", F.coalesce(following - 1, F.col("n1")).alias("stop"))
@@ -133,8 +145,8 @@ def split_insertions(hunks: DataFrame, spans: DataFrame, most: int = 60) -> Data
 
 def leading_cut(hunks: DataFrame, spans: DataFrame) -> DataFrame:
     """The first span start strictly inside each hunk: where its leading insertion ends."""
-    inside = spans.join(hunks.select(*HUNK, "n0", "n1"), KEY).where((F.col("lo") > F.col("n0")) & (F.col("lo") <= F.col("n1")))
-    return inside.groupBy(*HUNK).agg(F.min("lo").alias("cut"))
+    held = inside(spans, "lo", hunks.select(*HUNK, "n0", "n1"), "n0", "n1").where("lo > n0")
+    return held.groupBy(*HUNK).agg(F.min("lo").alias("cut"))
 
 
 def relocate(anchors: DataFrame, lines: DataFrame) -> DataFrame:

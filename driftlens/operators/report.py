@@ -165,29 +165,55 @@ def ranked(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     return dealt.withColumn(name, first + inside).drop("_part")
 
 
+def clipped(s: Column, most: int) -> Column:
+    """At most so many characters: cut at the last space if that is in the second half, with an ellipsis."""
+    head = F.substring(s, 1, most - 1)
+    space = F.instr(F.reverse(head), F.lit(" "))
+    place = F.char_length(head) - space
+    cut_ = F.when((space > 0) & (place > most // 2), F.regexp_replace(F.substring(head, F.lit(1), place), r"\s+$", "")).otherwise(head)
+    return F.when(F.char_length(s) <= most, s).otherwise(F.concat(cut_, F.lit("…")))
+
+
+#: Fixed value: characters kept free for the note on what was left out.
+SUFFIX = 12
+
+
 def fitted(pieces: Column, budget: int = 240) -> Column:
-    """Pieces joined by '; ' as long as they fit the budget, then how many were left out."""
+    """Those pieces that still fit the budget, in order and joined by '; ', then how many were left out; if the first
+    does not fit and no other does, its beginning."""
+    most = budget - SUFFIX
     fold = F.aggregate(
         pieces,
         F.struct(F.lit("").alias("s"), F.lit(0).alias("n")),
         lambda acc, p: F.when(
-            (acc["n"] == 0) & (F.char_length(acc["s"]) + F.char_length(p) + 2 <= budget),
-            F.struct(F.when(acc["s"] == "", p).otherwise(F.concat(acc["s"], F.lit("; "), p)).alias("s"), F.lit(0).alias("n")),
+            F.char_length(acc["s"]) + F.char_length(p) + F.when(acc["s"] == "", 0).otherwise(2) <= most,
+            F.struct(F.when(acc["s"] == "", p).otherwise(F.concat(acc["s"], F.lit("; "), p)).alias("s"), acc["n"].alias("n")),
         ).otherwise(F.struct(acc["s"].alias("s"), (acc["n"] + 1).alias("n"))),
-        lambda acc: F.when(acc["n"] > 0, F.concat(acc["s"], F.lit("; +"), acc["n"].cast("string"), F.lit(" more"))).otherwise(acc["s"]),
     )
-    return fold
+    alone = (fold["s"] == "") & (F.size(pieces) > 0)
+    text = F.when(alone, clipped(F.get(pieces, F.lit(0)), most)).otherwise(fold["s"])
+    n = fold["n"] - F.when(alone, 1).otherwise(0)
+    return F.when(n > 0, F.concat(text, F.lit("; +"), n.cast("string"), F.lit(" more"))).otherwise(text)
+
+
+#: Where an identifier's next word starts, and what parts identifiers.
+HUMP = r"(?<=\p{IsLowercase})(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
+APART = r"[^\p{IsAlphabetic}\p{N}]+"
+
+
+def pieces_of(text: Column) -> Column:
+    """Lower-case words of identifiers: cut at what is neither letter nor number and at humps; no single characters or bare numbers."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, HUMP, " ")), APART), lambda x: (F.char_length(x) > 1) & ~x.rlike("^[0-9]+$"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top: int = 20) -> DataFrame:
-    """Okapi BM25 over words of a-z and digits: the best documents of each query. docs: id, text; queries: query, text.
+    """Okapi BM25 over the words of identifiers (``pieces_of``): the best documents of each query. docs: id, text; queries: query, text.
 
     Query terms are distinct; idf is ln(1 + (N - df + 0.5) / (df + 0.5)). Document counts are joined to the terms of
     queries only, so what is not asked for is dropped before the join.
     """
-    word = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
-    terms = queries.select("query", F.explode(F.array_distinct(word(F.col("text")))).alias("term"))
-    words = docs.select("id", word(F.col("text")).alias("w"))
+    terms = queries.select("query", F.explode(F.array_distinct(pieces_of(F.col("text")))).alias("term"))
+    words = docs.select("id", pieces_of(F.coalesce("text", F.lit(""))).alias("w"))
     sized = words.select("id", F.size("w").alias("len"))
     totals = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
     asked = terms.select("term").dropDuplicates()

@@ -199,23 +199,17 @@ def _(old, new):
     return symbols.changes(old, new)
 
 
-def moved(lineitem: DataFrame, old: str = "true", new: str = "true") -> DataFrame:
-    x = lineitem.select((F.col("l_suppkey") % 50).alias("file"), F.col("l_partkey").alias("name"), (F.col("l_partkey") % 7).alias("body"), "l_linestatus", "l_orderkey")
-    return symbols.moves(x.where(f"l_linestatus = 'O' and {old}"), x.where(f"l_linestatus <> 'O' and {new}"))
-
-
-@register("whole_moves", ("lineitem",))
-def _(lineitem):
-    return moved(lineitem)
+MOVED = """
+WITH o AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey * 10 + l_linenumber AS name, l_partkey % 7 AS body FROM lineitem WHERE l_linestatus = 'O'),
+n AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey * 10 + l_linenumber AS name, l_partkey % 7 AS body FROM lineitem WHERE l_linestatus <> 'O'),
+g AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name)), c AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.file = o.file AND n.name = o.name))
+SELECT g.file, g.name, g.body, min(c.file) AS target FROM g JOIN c ON g.name = c.name AND g.body = c.body AND g.file <> c.file GROUP BY ALL HAVING count(DISTINCT c.file) = 1"""
 
 
-@register("moves", ("lineitem",), """
-WITH o AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey AS name, l_partkey % 7 AS body FROM lineitem WHERE l_linestatus = 'O' AND l_partkey % 3 = 0),
-n AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey AS name, l_partkey % 7 AS body FROM lineitem WHERE l_linestatus <> 'O' AND l_orderkey % 9 = 0),
-g AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name)), c AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.file = o.file AND n.name = o.name))
-SELECT g.file, g.name, g.body, min(c.file) AS target FROM g JOIN c ON g.name = c.name AND g.body = c.body AND g.file <> c.file GROUP BY ALL HAVING count(DISTINCT c.file) = 1""")
+@register("moves", ("lineitem",), MOVED)
 def _(lineitem):
-    return moved(lineitem, "name % 3 = 0", "l_orderkey % 9 = 0")
+    x = lineitem.select((F.col("l_suppkey") % 50).alias("file"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("name"), (F.col("l_partkey") % 7).alias("body"), "l_linestatus", "l_orderkey")
+    return symbols.moves(x.where("l_linestatus = 'O'"), x.where("l_linestatus <> 'O'"))
 
 
 def flat(sql: str) -> str:
@@ -293,11 +287,11 @@ def _(hunks):
 
 
 @register("arity_check", ("lineitem",), """
-WITH d AS (SELECT l_partkey AS name, min(l_linenumber % 3) AS required, min(l_linenumber % 3 + 1) AS total FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1 HAVING count(DISTINCT l_linenumber % 3) = 1)
-SELECT d.name, d.required, d.total, count(*) AS calls FROM lineitem l JOIN d ON d.name = l.l_partkey WHERE l.l_linestatus <> 'O' AND (l.l_linenumber % 5 < d.required OR l.l_linenumber % 5 > d.total) GROUP BY ALL""")
+WITH d AS (SELECT l_orderkey AS name, min(l_linenumber % 3) AS required, min(l_linenumber % 3 + 1) AS total FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1 HAVING count(DISTINCT l_linenumber % 3) = 1)
+SELECT d.name, d.required, d.total, count(*) AS calls FROM lineitem l JOIN d ON d.name = l.l_orderkey WHERE l.l_linestatus <> 'O' AND (l.l_linenumber % 5 < d.required OR l.l_linenumber % 5 > d.total) GROUP BY ALL""")
 def _(lineitem):
-    d = lineitem.where("l_linestatus = 'O'").select(F.col("l_partkey").alias("name"), (F.col("l_linenumber") % 3).alias("required"), (F.col("l_linenumber") % 3 + 1).alias("total"))
-    return symbols.arity(d, lineitem.where("l_linestatus <> 'O'").select(F.col("l_partkey").alias("name"), (F.col("l_linenumber") % 5).alias("given")))
+    d = lineitem.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("name"), (F.col("l_linenumber") % 3).alias("required"), (F.col("l_linenumber") % 3 + 1).alias("total"))
+    return symbols.arity(d, lineitem.where("l_linestatus <> 'O'").select(F.col("l_orderkey").alias("name"), (F.col("l_linenumber") % 5).alias("given")))
 
 
 # Groups, ranks and neighbours.
@@ -334,13 +328,11 @@ def _(history):
     return report.file_history(history, "1998-01-01")
 
 
-@register("whole_degrees", ("whole_dag",))
 @register("degrees", ("dag",), "SELECT node, CAST(sum(o) AS BIGINT) AS edges_out, CAST(sum(i) AS BIGINT) AS edges_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM dag UNION ALL SELECT dst, 0, 1 FROM dag) x GROUP BY node")
 def _(dag):
     return report.degrees(dag)
 
 
-@register("whole_review_coverage", ("whole_dag", "orders"))
 @register("review_coverage", ("dag", "orders"), """
 WITH m AS (SELECT o_orderkey AS node, o_orderdate AS at FROM orders WHERE o_orderstatus <> 'P')
 SELECT count(*) AS edges, count(*) FILTER (s.at IS NOT NULL AND d.at IS NOT NULL) AS reviewed, count(*) FILTER (d.at IS NOT NULL AND (s.at IS NULL OR s.at > d.at)) AS out_of_order
@@ -443,9 +435,9 @@ def _(uses):
     return uses.groupBy("grp").agg(report.fitted(pieces, 60).alias("text"))
 
 
-@register("search", ("documents", "benchmark"), """
-WITH q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark),
-w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS m FROM w),
+@register("search", ("documents", "benchmark"), r"""
+WITH q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+'))) AS term FROM benchmark),
+w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+')) AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS m FROM w),
 t AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(w) AS l, unnest(w) AS term FROM w) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
 s AS (SELECT q.query, t.id, sum(ln(1 + (n.n - d.df + 0.5) / (d.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.l / n.m))) AS score FROM q JOIN t ON t.term = q.term JOIN d ON d.term = t.term CROSS JOIN n GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS place FROM s) SELECT query, CAST(place AS INTEGER) AS place, id, round(score, 4) AS score FROM r WHERE place <= 20""")
@@ -453,66 +445,35 @@ def _(documents, benchmark):
     return report.bm25(documents.select(F.col("doc_id").alias("id"), "text"), benchmark.select(F.col("item_id").alias("query"), "text"))
 
 
-# Graphs. Queries named whole_ run on all rows; those of the plain names run on what their SQL can follow in time.
-
-
-@register("whole_clusters", ("whole_dag",))
-def _(dag):
-    return graph.components(dag)
+# Graphs.
 
 
 @register("clusters", ("dag",), """
 WITH RECURSIVE b AS (SELECT src AS a, dst AS b FROM dag UNION SELECT dst, src FROM dag), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node) SELECT node, min(root) AS cluster FROM r GROUP BY node""")
 def _(dag):
-    return graph.components(dag.where("src < 4000"))
-
-
-ORACLE_SQL["clusters"] = ORACLE_SQL["clusters"].replace("SELECT src AS a, dst AS b FROM dag UNION SELECT dst, src FROM dag", "SELECT src AS a, dst AS b FROM dag WHERE src < 4000 UNION SELECT dst, src FROM dag WHERE src < 4000")
+    return graph.components(dag)
 
 
-@register("whole_downstream_closure", ("whole_dag",))
+@register("downstream_closure", ("dag",), "WITH RECURSIVE r(start, node) AS (SELECT src, dst FROM dag UNION SELECT r.start, d.dst FROM r JOIN dag d ON d.src = r.node) SELECT DISTINCT start, node FROM r")
 def _(dag):
     return graph.closure(dag, dag.select(F.col("src").alias("start")).dropDuplicates())
 
 
-@register("whole_upstream_closure", ("whole_dag",))
+@register("upstream_closure", ("dag",), "WITH RECURSIVE r(start, node) AS (SELECT dst, src FROM dag UNION SELECT r.start, d.src FROM r JOIN dag d ON d.dst = r.node) SELECT DISTINCT start, node FROM r")
 def _(dag):
     turned = dag.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.closure(turned, turned.select(F.col("src").alias("start")).dropDuplicates())
 
 
-@register("downstream_closure", ("dag",), "WITH RECURSIVE r(start, node) AS (SELECT src, dst FROM dag WHERE src % 10 = 0 UNION SELECT r.start, d.dst FROM r JOIN dag d ON d.src = r.node) SELECT DISTINCT start, node FROM r")
-def _(dag):
-    return graph.closure(dag, dag.where("src % 10 = 0").select(F.col("src").alias("start")).dropDuplicates())
-
-
-@register("upstream_closure", ("dag",), "WITH RECURSIVE r(start, node) AS (SELECT dst, src FROM dag WHERE dst % 10 = 0 UNION SELECT r.start, d.src FROM r JOIN dag d ON d.dst = r.node) SELECT DISTINCT start, node FROM r")
-def _(dag):
-    turned = dag.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.closure(turned, turned.where("src % 10 = 0").select(F.col("src").alias("start")).dropDuplicates())
-
-
-@register("whole_dependency_levels", ("whole_dag",))
 @register("dependency_levels", ("dag",), "WITH RECURSIVE r(node, level) AS (SELECT src, 0 FROM dag UNION SELECT d.dst, r.level + 1 FROM r JOIN dag d ON d.src = r.node) SELECT node, max(level) AS level FROM r GROUP BY node")
 def _(dag):
     return graph.levels(dag)
 
 
-def cyclic(lineitem: DataFrame, depth: int | None = None) -> DataFrame:
-    e = lineitem.select((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 97).alias("dst")).dropDuplicates()
-    return graph.import_cycles(e, e.where("src > dst"), depth)
-
-
-@register("whole_import_cycles", ("lineitem",))
+@register("import_cycles", ("lineitem",))
 def _(lineitem):
-    return cyclic(lineitem)
-
-
-@register("import_cycles", ("lineitem",), """
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 97 AS src, l_partkey % 97 AS dst FROM lineitem WHERE l_orderkey % 60 = 0), a AS (SELECT DISTINCT src, dst FROM e WHERE src > dst),
-r(src, dst, pos, k) AS (SELECT src, dst, dst, 1 FROM a UNION SELECT r.src, r.dst, e.dst, r.k + 1 FROM r JOIN e ON e.src = r.pos WHERE r.k < 4) SELECT src, dst, min(k) AS length FROM r WHERE pos = src AND k > 1 GROUP BY src, dst""")
-def _(lineitem):
-    return cyclic(lineitem.where("l_orderkey % 60 = 0"), depth=3)
+    e = lineitem.select((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 97).alias("dst")).dropDuplicates()
+    return graph.import_cycles(e, e.where("src > dst"))
 
 
 # Scores.
@@ -591,24 +552,31 @@ def _(embeddings):
 # Scalar functions.
 
 
-def named_texts(documents: DataFrame, whole: Column) -> DataFrame:
-    tail = F.when(F.col("doc_id") % 3 == 0, "/__init__.py").otherwise("/a.test.py")
-    x = documents.select("doc_id", F.concat(F.lit("  "), whole, F.lit(" ")).alias("t"), F.concat("source", F.lit("/pkg/mod_"), (F.col("doc_id") % 5).cast("string"), tail).alias("p"))
-    return x.select("doc_id", text.squeeze(F.col("t")).alias("squeezed"), text.bare_name(F.concat(F.lit("a.b:"), F.col("doc_id").cast("string"))).alias("bare"), text.module_of(F.col("p")).alias("module"), text.path_kind(F.col("p")).alias("kind"))
-
-
 @register("text_functions", ("documents",), r"""
-WITH d AS (SELECT doc_id, '  ' || substr(text, 1, 80) || ' ' AS t, source || '/pkg/mod_' || doc_id % 5 || CASE doc_id % 3 WHEN 0 THEN '/__init__.py' ELSE '/a.test.py' END AS p FROM documents)
+WITH d AS (SELECT doc_id, '  ' || text || ' ' AS t, source || '/pkg/mod_' || doc_id % 5 || CASE doc_id % 3 WHEN 0 THEN '/__init__.py' ELSE '/a.test.py' END AS p FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS squeezed, regexp_extract('a.b:' || doc_id, '[^.:]*$', 0) AS bare,
 replace(regexp_replace(regexp_replace(p, '\.[^./]*$', ''), '(^|/)(__init__|index|mod)$', ''), '/', '.') AS module,
 CASE WHEN regexp_matches(p, '[_.](test|spec)\.[^/]*$') THEN 'test' ELSE 'code' END AS kind FROM d""")
 def _(documents):
-    return named_texts(documents, F.substring("text", 1, 80))
+    tail = F.when(F.col("doc_id") % 3 == 0, "/__init__.py").otherwise("/a.test.py")
+    x = documents.select("doc_id", F.concat(F.lit("  "), "text", F.lit(" ")).alias("t"), F.concat("source", F.lit("/pkg/mod_"), (F.col("doc_id") % 5).cast("string"), tail).alias("p"))
+    return x.select("doc_id", text.squeeze(F.col("t")).alias("squeezed"), text.bare_name(F.concat(F.lit("a.b:"), F.col("doc_id").cast("string"))).alias("bare"), text.module_of(F.col("p")).alias("module"), text.path_kind(F.col("p")).alias("kind"))
+
+
+NAMES = ("README", "a.md", "CHANGES.txt", "b.rs", "c.json", "package-lock.json", "Makefile", "CMakeLists.txt", "d.adoc", "e.unknown", "f.test.ts", "g.min.js", "h_pb2.py", "i.snap", "j.py", "k.generated.ts")
+FOLDERS = ("", "docs/", "src/", ".github/x/", "lib/vendor/y/", "tests/")
 
 
-@register("whole_text_functions", ("documents",), ORACLE_SQL["text_functions"].replace("substr(text, 1, 80)", "text"))
+@register("path_kinds", ("documents",), f"""
+WITH d AS (SELECT doc_id, [{", ".join(f"'{x}'" for x in FOLDERS)}][doc_id % {len(FOLDERS)} + 1] AS f, [{", ".join(f"'{x}'" for x in NAMES)}][CAST(floor(doc_id / {len(FOLDERS)}) AS BIGINT) % {len(NAMES)} + 1] AS n FROM documents),
+x AS (SELECT doc_id, f || n AS path, n, f, n IN ('package-lock.json') OR n LIKE '%.min.js' OR ends_with(n, '_pb2.py') OR n LIKE '%.snap' OR n LIKE '%.generated.%' OR f = 'lib/vendor/y/' AS generated FROM d)
+SELECT doc_id, path, generated, CASE WHEN n IN ('README', 'a.md', 'CHANGES.txt') THEN 'docs' WHEN f = 'tests/' OR n = 'f.test.ts' THEN 'test' WHEN f = 'docs/' AND n IN ('e.unknown', 'i.snap') OR n = 'd.adoc' THEN 'docs'
+WHEN n IN ('c.json', 'package-lock.json', 'Makefile', 'CMakeLists.txt', 'e.unknown', 'i.snap') OR f = '.github/x/' OR generated THEN 'chore' ELSE 'code' END AS kind FROM x""")
 def _(documents):
-    return named_texts(documents, F.col("text"))
+    at = lambda values, k: F.get(F.array(*[F.lit(x) for x in values]), k.cast("int"))
+    path = F.concat(at(FOLDERS, F.col("doc_id") % len(FOLDERS)), at(NAMES, F.floor(F.col("doc_id") / len(FOLDERS)) % len(NAMES)))
+    x = documents.select("doc_id", path.alias("path"))
+    return x.select("doc_id", "path", text.is_generated(F.col("path")).alias("generated"), text.path_kind(F.col("path")).alias("kind"))
 
 
 @register("path_selection", ("pages",), r"""

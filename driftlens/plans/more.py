@@ -72,23 +72,14 @@ def _(old, new):
     return contract.overrides_left(callables(old), callables(new), subs)
 
 
-def unimplemented(x: DataFrame, bases: str = "true", owners: str = "true") -> DataFrame:
-    name = (F.col("l_partkey") % 50).alias("name")
-    a = x.where(f"l_linenumber = 1 and {bases}").select(F.col("l_suppkey").alias("base"), name).dropDuplicates()
-    s = x.where(f"l_linenumber = 2 and {owners}").select(F.col("l_suppkey").alias("base"), F.col("l_orderkey").alias("owner")).dropDuplicates()
-    return contract.unimplemented(a, s, x.select(F.col("l_orderkey").alias("owner"), name))
-
-
-@register("whole_unimplemented_abstract", ("lineitem",))
-def _(x):
-    return unimplemented(x)
-
-
 @register("unimplemented_abstract", ("lineitem",), """
-WITH a AS (SELECT DISTINCT l_suppkey AS base, l_partkey % 50 AS name FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0), s AS (SELECT DISTINCT l_suppkey AS base, l_orderkey AS owner FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 7 = 0), m AS (SELECT DISTINCT l_orderkey AS owner, l_partkey % 50 AS name FROM lineitem)
+WITH a AS (SELECT DISTINCT l_suppkey AS base, l_partkey % 50 AS name FROM lineitem WHERE l_linenumber = 1), s AS (SELECT DISTINCT l_suppkey AS base, l_orderkey AS owner FROM lineitem WHERE l_linenumber = 2), m AS (SELECT DISTINCT l_orderkey AS owner, l_partkey % 50 AS name FROM lineitem)
 SELECT a.base, s.owner, a.name FROM a JOIN s ON a.base = s.base WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.owner = s.owner AND m.name = a.name)""")
 def _(x):
-    return unimplemented(x, "l_orderkey % 50 = 0", "l_orderkey % 7 = 0")
+    name = (F.col("l_partkey") % 50).alias("name")
+    a = x.where("l_linenumber = 1").select(F.col("l_suppkey").alias("base"), name).dropDuplicates()
+    s = x.where("l_linenumber = 2").select(F.col("l_suppkey").alias("base"), F.col("l_orderkey").alias("owner")).dropDuplicates()
+    return contract.unimplemented(a, s, x.select(F.col("l_orderkey").alias("owner"), name))
 
 
 @register("enum_values_changed", ("customer",), """
@@ -120,29 +111,32 @@ def _(x):
 
 
 @register("duplicated_helpers", ("lineitem",), """
-WITH f AS (SELECT l_suppkey AS file, l_shipdate AS name, list_distinct(list(l_quantity)) AS lines FROM lineitem GROUP BY 1, 2)
+WITH f AS (SELECT l_suppkey % 20 AS file, l_shipdate AS name, list_distinct(list(l_linenumber)) AS lines FROM lineitem GROUP BY 1, 2)
 SELECT a.name, b.file, min(a.file) AS first FROM f a JOIN f b ON a.name = b.name AND a.file < b.file WHERE len(a.lines) >= 3 AND len(b.lines) >= 3 AND len(list_intersect(a.lines, b.lines)) * 2 / (len(a.lines) + len(b.lines)) >= 0.9 GROUP BY 1, 2""")
 def _(x):
-    return contract.duplicated_helpers(x.groupBy(F.col("l_suppkey").alias("file"), F.col("l_shipdate").alias("name")).agg(F.collect_set("l_quantity").alias("lines")))
+    return contract.duplicated_helpers(x.groupBy((F.col("l_suppkey") % 20).alias("file"), F.col("l_shipdate").alias("name")).agg(F.collect_set("l_linenumber").alias("lines")))
 
 
 # Classification.
 
 BINDINGS["kinds"] = """
 SELECT l_orderkey AS review, CASE l_suppkey % 5 WHEN 0 THEN 'docs' WHEN 1 THEN 'test' WHEN 2 THEN 'chore' ELSE 'code' END AS path_kind,
-CASE l_partkey % 4 WHEN 0 THEN 'Format' WHEN 1 THEN 'Pattern' WHEN 2 THEN 'Edit' ELSE 'Move' END AS kind, CASE l_partkey % 6 WHEN 1 THEN 'Guard' WHEN 2 THEN 'Async' ELSE NULL END AS intent, l_quantity > 40 AS adds_name FROM lineitem
+CASE l_partkey % 5 WHEN 0 THEN 'Format' WHEN 1 THEN 'Pattern' WHEN 2 THEN 'Edit' WHEN 3 THEN 'Comment' ELSE 'Move' END AS kind, CASE l_partkey % 6 WHEN 1 THEN 'Guard' WHEN 2 THEN 'Async' ELSE NULL END AS intent, l_quantity > 40 AS adds_name FROM lineitem
 """
 
 
 @register("change_label", ("kinds",), """
-SELECT review, CASE WHEN bool_and(path_kind = 'docs') THEN 'docs' WHEN bool_and(path_kind IN ('docs', 'test')) THEN 'test' WHEN bool_and(path_kind IN ('docs', 'test', 'chore')) THEN 'chore'
-WHEN bool_and(path_kind <> 'code' OR kind IN ('Format', 'Move')) THEN 'refactor' WHEN bool_or(path_kind = 'code' AND coalesce(intent = 'Guard', false)) THEN 'fix-candidate' WHEN bool_or(path_kind = 'code' AND adds_name) THEN 'feature' ELSE 'change' END AS label FROM kinds GROUP BY review""")
+WITH x AS (SELECT review, bool_or(path_kind = 'code') AS code, bool_or(path_kind = 'test') AS test, bool_or(path_kind = 'chore') AS chore, list(kind) FILTER (path_kind = 'code') AS k,
+bool_or(path_kind = 'code' AND coalesce(intent = 'Guard', false)) AS fix, bool_or(path_kind = 'code' AND adds_name) AS named FROM kinds GROUP BY review)
+SELECT review, CASE WHEN NOT code AND NOT test AND NOT chore THEN 'docs' WHEN NOT code AND test THEN 'test' WHEN NOT code THEN 'chore'
+WHEN list_contains(k, 'Comment') AND len(list_filter(k, lambda z: z NOT IN ('Comment', 'Format'))) = 0 THEN CASE WHEN test THEN 'test' ELSE 'docs' END
+WHEN len(list_filter(k, lambda z: z NOT IN ('Format', 'Comment', 'Move'))) = 0 THEN 'refactor' WHEN fix THEN 'fix-candidate' WHEN named THEN 'feature' WHEN test THEN 'fix-candidate' ELSE 'change' END AS label FROM x""")
 def _(kinds):
     return classify.label(kinds)
 
 
 @register("change_verdict", ("kinds",), """
-SELECT review, CASE WHEN bool_and(path_kind = 'docs' OR kind IN ('Format', 'Move')) THEN 'preserving' WHEN bool_or(path_kind IN ('code', 'chore') AND kind = 'Pattern') THEN 'changes' ELSE 'unknown' END AS verdict FROM kinds GROUP BY review""")
+SELECT review, CASE WHEN bool_and(path_kind = 'docs' OR kind IN ('Format', 'Move', 'Comment')) THEN 'preserving' WHEN bool_or(path_kind IN ('code', 'chore') AND kind = 'Pattern') THEN 'changes' ELSE 'unknown' END AS verdict FROM kinds GROUP BY review""")
 def _(kinds):
     return classify.verdict(kinds)
 
@@ -288,24 +282,12 @@ def _(lineitem):
 # Recurring edits, features, labels from later fixes.
 
 
-def repeated_edits(lineitem: DataFrame) -> DataFrame:
+@register("same_edits", ("lineitem",))
+def _(lineitem):
     x = lineitem.select(F.col("l_orderkey").alias("node"), F.col("l_orderkey").alias("home"), F.concat(F.lit("edit number "), F.col("l_partkey").cast("string")).alias("edit")).dropDuplicates()
     return edits.same_edits(x)
 
 
-@register("whole_same_edits", ("lineitem",))
-def _(lineitem):
-    return repeated_edits(lineitem)
-
-
-@register("same_edits", ("lineitem",), """
-WITH RECURSIVE h AS (SELECT DISTINCT l_orderkey AS node, l_orderkey % 5 AS home, 'edit number ' || l_partkey AS edit FROM lineitem WHERE l_orderkey % 20 = 0),
-f AS (SELECT edit, min(node) AS first FROM h GROUP BY edit HAVING count(DISTINCT home) >= 1), e AS (SELECT DISTINCT first AS a, node AS b FROM h JOIN f USING (edit) WHERE node <> first),
-b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node WHERE r.root < b.b) SELECT node, min(root) AS cluster FROM r GROUP BY node""")
-def _(lineitem):
-    return repeated_edits(lineitem.where("l_orderkey % 20 = 0"))
-
-
 @register("feature_vector", ("hunks",), """
 SELECT review * 1000000 + file * 1000 + hunk AS node, CAST(noise AS INTEGER)::DOUBLE AS noise, 0.0::DOUBLE AS comment, (file = 1)::INTEGER::DOUBLE AS test_path, added::DOUBLE AS lines_added, removed::DOUBLE AS lines_removed, priority::DOUBLE AS defines, scope::DOUBLE AS uses,
 0.0::DOUBLE AS edges_out, 0.0::DOUBLE AS edges_in, 1.0::DOUBLE AS has_history, 0.0::DOUBLE AS churn, 0.0::DOUBLE AS fixes, (scope = 0)::INTEGER::DOUBLE AS category_import, (scope = 1)::INTEGER::DOUBLE AS category_definition, (scope = 2)::INTEGER::DOUBLE AS category_other,
@@ -369,42 +351,25 @@ def _(defines, uses):
     return symbols.own_bound(uses, defines, uses.where("grp % 3 = 0")).select("grp", "file", "symbol")
 
 
-def related(dag: DataFrame, low: DataFrame) -> DataFrame:
-    pairs = low.select(F.col("src").alias("a"), (F.col("src") + 100).alias("b")).union(low.select("dst", "src")).dropDuplicates()
-    return symbols.relation(pairs, graph.closure(dag, low.select(F.col("src").alias("start")).dropDuplicates()))
-
-
-@register("whole_pair_relation", ("whole_dag",))
-def _(dag):
-    return related(dag, dag)
-
-
 @register("pair_relation", ("dag",), """
-WITH RECURSIVE r(start, node) AS (SELECT src, dst FROM dag WHERE src < 3000 UNION SELECT r.start, d.dst FROM r JOIN dag d ON d.src = r.node), p AS (SELECT DISTINCT src AS a, src + 100 AS b FROM dag WHERE src < 3000 UNION SELECT dst, src FROM dag WHERE src < 3000)
-SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM r WHERE start = a AND node = b) THEN 'before' WHEN EXISTS (SELECT 1 FROM r WHERE start = b AND node = a) THEN 'after' ELSE 'free' END AS relation FROM p""")
+WITH RECURSIVE r(start, node) AS (SELECT src, dst FROM dag UNION SELECT r.start, d.dst FROM r JOIN dag d ON d.src = r.node), p AS (SELECT DISTINCT src AS a, src + 100 AS b FROM dag UNION SELECT dst, src FROM dag)
+SELECT a, b, CASE WHEN f.start IS NOT NULL THEN 'before' WHEN g.start IS NOT NULL THEN 'after' ELSE 'free' END AS relation
+FROM p LEFT JOIN (SELECT DISTINCT start, node FROM r) f ON f.start = a AND f.node = b LEFT JOIN (SELECT DISTINCT start, node FROM r) g ON g.start = b AND g.node = a""")
 def _(dag):
-    return related(dag, dag.where("src < 3000"))
-
-
-def extracted(x: DataFrame, new: str = "true") -> DataFrame:
-    file, line = (F.col("l_suppkey") % 20).alias("file"), (F.col("l_partkey") % 60).alias("line")
-    old = x.where("l_returnflag = 'A'").select(file, F.col("l_linenumber").alias("name"), line).dropDuplicates()
-    name = F.col("l_linenumber") + F.when(F.col("l_orderkey") % 2 == 0, 10).otherwise(0)
-    return symbols.extractions(old, x.where(f"l_returnflag = 'R' and {new}").select(file, name.alias("name"), line).dropDuplicates())
-
-
-@register("whole_extractions", ("lineitem",))
-def _(x):
-    return extracted(x)
+    pairs = dag.select(F.col("src").alias("a"), (F.col("src") + 100).alias("b")).union(dag.select("dst", "src")).dropDuplicates()
+    return symbols.relation(pairs, graph.closure(dag, dag.select(F.col("src").alias("start")).dropDuplicates()))
 
 
 @register("extractions", ("lineitem",), """
-WITH o AS (SELECT DISTINCT l_suppkey % 20 AS file, l_linenumber AS name, l_partkey % 60 AS line FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT DISTINCT l_suppkey % 20 AS file, l_linenumber + CASE WHEN l_orderkey % 2 = 0 THEN 10 ELSE 0 END AS name, l_partkey % 60 AS line FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 8 < 2),
+WITH o AS (SELECT DISTINCT l_suppkey % 20 AS file, l_linenumber AS name, l_partkey % 60 AS line FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT DISTINCT l_suppkey % 20 AS file, l_linenumber + CASE WHEN l_orderkey % 2 = 0 THEN 10 ELSE 0 END AS name, l_partkey % 60 AS line FROM lineitem WHERE l_returnflag = 'R'),
 a AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file = n.file AND o.name = n.name)), z AS (SELECT file, name, count(DISTINCT line) AS size FROM a GROUP BY ALL HAVING count(DISTINCT line) >= 3),
 l AS (SELECT DISTINCT file, line, name AS source FROM o WHERE EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name) AND NOT EXISTS (SELECT 1 FROM n WHERE n.file = o.file AND n.name = o.name AND n.line = o.line)),
 s AS (SELECT a.file, a.name, l.source, count(DISTINCT a.line) AS shared FROM a JOIN l ON l.file = a.file AND l.line = a.line GROUP BY ALL) SELECT s.file, s.name, first(source ORDER BY shared DESC, source) AS source, max(shared) AS shared FROM s JOIN z ON z.file = s.file AND z.name = s.name WHERE shared >= 3 AND 2 * shared >= size GROUP BY ALL""")
 def _(x):
-    return extracted(x, "l_orderkey % 8 < 2")
+    file, line = (F.col("l_suppkey") % 20).alias("file"), (F.col("l_partkey") % 60).alias("line")
+    old = x.where("l_returnflag = 'A'").select(file, F.col("l_linenumber").alias("name"), line).dropDuplicates()
+    name = F.col("l_linenumber") + F.when(F.col("l_orderkey") % 2 == 0, 10).otherwise(0)
+    return symbols.extractions(old, x.where("l_returnflag = 'R'").select(file, name.alias("name"), line).dropDuplicates())
 
 
 # State over time.

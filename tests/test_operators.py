@@ -2,7 +2,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from driftlens.functions import text
-from driftlens.operators import classify, graph, report, rules, symbols
+from driftlens.operators import classify, graph, model, ranges, report, rules, symbols
 from driftlens.sources import patches
 
 
@@ -58,9 +58,53 @@ def test_comments(spark):
     assert row["a"] and row["b"] == "commented out" and row["c"] == "uncommented"
 
 
+def budgeted(pieces, budget):
+    """What fits of pieces, by the definition of report.fitted."""
+    most, kept, left = budget - 12, "", 0
+    for p in pieces:
+        if len(kept) + (2 if kept else 0) + len(p) <= most:
+            kept += ("; " if kept else "") + p
+        else:
+            left += 1
+    if pieces and not kept:
+        head = pieces[0][: most - 1]
+        place = head.rfind(" ")
+        kept = pieces[0] if len(pieces[0]) <= most else (head[:place].rstrip() if place > most // 2 else head) + "…"
+        left -= 1
+    return kept + (f"; +{left} more" if left else "")
+
+
 def test_budget(spark):
-    x = spark.range(1).select(report.fitted(F.array(F.lit("aaaa"), F.lit("bbbb"), F.lit("cccc")), 11).alias("t")).first()["t"]
-    assert x == "aaaa; bbbb; +1 more" or x == "aaaa; +2 more"
+    cases = [["aaaa", "bbbb", "cccc"], ["aaaa", "b" * 30, "cc"], ["a" * 50], ["word after word and more words", "x" * 40], [], ["one two three four fi" + "v" * 20, "z"]]
+    for budget in (23, 24, 40):
+        x = spark.createDataFrame([(c,) for c in cases], "p array<string>").select("p", report.fitted(F.col("p"), budget).alias("t"))
+        for r in x.collect():
+            assert r["t"] == budgeted(r["p"], budget) and len(r["t"]) <= budget
+
+
+def test_words_of_identifiers(spark):
+    row = spark.createDataFrame([("parseHTTPReply a_b x 12 naïveÉtat v2",)], "t string").select(report.pieces_of(F.col("t")).alias("w")).first()
+    assert row["w"] == ["parse", "http", "reply", "naïve", "état", "v2"]
+
+
+def test_exact_auc(spark):
+    rows = [(0.12341, 1, "a"), (0.12342, 0, "a"), (0.5, 1, "a"), (0.5, 0, "a"), (0.9, 1, "b"), (0.1, 0, "b"), (0.95, 0, "b")]
+    x = spark.createDataFrame(rows, "score double, label int, g string")
+
+    def wanted(rs):
+        pairs = [1.0 if p > q else 0.5 if p == q else 0.0 for p, a, _ in rs if a for q, b, _ in rs if not b]
+        return round(sum(pairs) / len(pairs), 6)
+
+    assert model.auc(x.drop("g")).first()["auc"] == wanted(rows)
+    assert {r["g"]: r["auc"] for r in model.auc(x, ["g"]).collect()} == {g: wanted([r for r in rows if r[2] == g]) for g in "ab"}
+
+
+def test_points_in_ranges(spark):
+    ranges_ = [(1, 0, k, 130 * k, 130 * k + 70) for k in range(30)] + [(1, 0, 99, 40, 39), (2, 0, 1, 0, 1000)]
+    points = [(r, 0, k) for r in (1, 2) for k in range(0, 4000, 7)]
+    got = ranges.inside(spark.createDataFrame(points, "review long, file long, row_no long"), "row_no", spark.createDataFrame(ranges_, "review long, file long, hunk long, n0 long, n1 long"), "n0", "n1")
+    want = sorted((r, p, h) for r, _, p in points for q, _, h, lo, hi in ranges_ if q == r and lo <= p <= hi)
+    assert sorted((x["review"], x["row_no"], x["hunk"]) for x in got.collect()) == want
 
 
 def test_file_gate(spark):

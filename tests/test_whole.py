@@ -80,31 +80,31 @@ def test_whole_clusters(spark):
     edges = whole_edges(spark)
     assert any(b - a >= 400 for a, b in edges)
     both = reach(edges | {(b, a) for a, b in edges})
-    assert got(spark, "whole_clusters") == {(a, min(r | {a})) for a, r in both.items()}
+    assert got(spark, "clusters") == {(a, min(r | {a})) for a, r in both.items()}
 
 
 def test_whole_degrees_levels_and_coverage(spark):
     edges = whole_edges(spark)
     nodes = {x for e in edges for x in e}
-    assert got(spark, "whole_degrees") == {(x, sum(a == x for a, _ in edges), sum(b == x for _, b in edges)) for x in nodes}
+    assert got(spark, "degrees") == {(x, sum(a == x for a, _ in edges), sum(b == x for _, b in edges)) for x in nodes}
     level = {}
     for x in sorted(nodes):
         level[x] = max((level[a] + 1 for a, b in edges if b == x), default=0)
-    assert got(spark, "whole_dependency_levels") == set(level.items())
+    assert got(spark, "dependency_levels") == set(level.items())
     at = {r["o_orderkey"]: r["o_orderdate"] for r in bindings.load(spark, SF, "orders").where("o_orderstatus <> 'P'").collect()}
     out_of_order = sum(b in at and (a not in at or at[a] > at[b]) for a, b in edges)
-    assert got(spark, "whole_review_coverage") == {(len(edges), sum(a in at and b in at for a, b in edges), out_of_order)}
+    assert got(spark, "review_coverage") == {(len(edges), sum(a in at and b in at for a, b in edges), out_of_order)}
 
 
 def test_whole_closures_and_pair_relation(spark):
     edges = whole_edges(spark)
     down = reach(edges)
     assert any(a % 10 for a in down)
-    assert got(spark, "whole_downstream_closure") == {(a, b) for a, r in down.items() for b in r}
-    assert got(spark, "whole_upstream_closure") == {(b, a) for a, r in down.items() for b in r}
+    assert got(spark, "downstream_closure") == {(a, b) for a, r in down.items() for b in r}
+    assert got(spark, "upstream_closure") == {(b, a) for a, r in down.items() for b in r}
     pairs = {(a, a + 100) for a, _ in edges} | {(b, a) for a, b in edges}
     said = lambda a, b: "before" if b in down.get(a, ()) else "after" if a in down.get(b, ()) else "free"
-    assert got(spark, "whole_pair_relation") == {(a, b, said(a, b)) for a, b in pairs}
+    assert got(spark, "pair_relation") == {(a, b, said(a, b)) for a, b in pairs}
 
 
 def test_whole_review_has_every_change(spark):
@@ -114,13 +114,13 @@ def test_whole_review_has_every_change(spark):
 
 def test_whole_tables_of_lines(spark):
     x = bindings.load(spark, SF, "lineitem").collect()
-    key = lambda r: (r["l_suppkey"] % 50, r["l_partkey"])
+    key = lambda r: (r["l_suppkey"] % 50, r["l_partkey"] * 10 + r["l_linenumber"])
     was, now = ({key(r) for r in x if (r["l_linestatus"] == "O") == old} for old in (True, False))
     came = {}
     for file, name in now - was:
         came.setdefault(name, set()).add(file)
-    found = {(f, n, n % 7, *(came.get(n, set()) - {f})) for f, n in was - now if len(came.get(n, set()) - {f}) == 1}
-    assert got(spark, "whole_moves") == found
+    found = {(f, n, n // 10 % 7, *(came.get(n, set()) - {f})) for f, n in was - now if len(came.get(n, set()) - {f}) == 1}
+    assert got(spark, "moves") == found
 
     methods = {(r["l_orderkey"], r["l_partkey"] % 50) for r in x}
     abstract = {(r["l_suppkey"], r["l_partkey"] % 50) for r in x if r["l_linenumber"] == 1}
@@ -128,14 +128,14 @@ def test_whole_tables_of_lines(spark):
     by = {}
     for b, n in abstract:
         by.setdefault(b, set()).add(n)
-    assert got(spark, "whole_unimplemented_abstract") == {(b, o, n) for b, o in subs for n in by.get(b, ()) if (o, n) not in methods}
+    assert got(spark, "unimplemented_abstract") == {(b, o, n) for b, o in subs for n in by.get(b, ()) if (o, n) not in methods}
 
     homes = {}
     for r in x:
         homes.setdefault(r["l_partkey"], set()).add(r["l_orderkey"])
     links = {(min(h), o) for h in homes.values() for o in h if o != min(h)}
     both = reach(links | {(b, a) for a, b in links})
-    assert got(spark, "whole_same_edits") == {(a, min(r | {a})) for a, r in both.items()}
+    assert got(spark, "same_edits") == {(a, min(r | {a})) for a, r in both.items()}
 
 
 def test_whole_extractions(spark):
@@ -155,7 +155,7 @@ def test_whole_extractions(spark):
         gave = [(-k, n) for k, n in gave if -k >= 3 and -2 * k >= len(body)]
         if gave:
             want.add((file, name, gave[0][1], gave[0][0]))
-    assert got(spark, "whole_extractions") == want
+    assert got(spark, "extractions") == want
 
 
 def way_back(edges, a, b):
@@ -179,11 +179,11 @@ def test_long_import_cycles(spark):
 def test_whole_import_cycles(spark):
     x = bindings.load(spark, SF, "lineitem").collect()
     edges = {(r["l_suppkey"] % 97, r["l_partkey"] % 97) for r in x}
-    assert got(spark, "whole_import_cycles") == {(a, b, k) for a, b in edges if a > b and (k := way_back(edges, a, b))}
+    assert got(spark, "import_cycles") == {(a, b, k) for a, b in edges if a > b and (k := way_back(edges, a, b))}
 
 
 def test_whole_text_functions(spark):
     texts = {r["doc_id"]: r["text"] for r in bindings.load(spark, SF, "documents").collect()}
     assert max(map(len, texts.values())) > 80
     want = {d: re.sub(r"[ \t\n\v\f\r]+", " ", t).strip(" ") for d, t in texts.items()}
-    assert {r["doc_id"]: r["squeezed"] for r in QUERIES["whole_text_functions"](spark, SF).collect()} == want
+    assert {r["doc_id"]: r["squeezed"] for r in QUERIES["text_functions"](spark, SF).collect()} == want
