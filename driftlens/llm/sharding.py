@@ -2,9 +2,9 @@
 
 Rows are ordered by (XXH64 of the text, doc_id), so copies of a text stand together and a group larger than
 a shard is cut between ids. The law is ``bytes``. A probe round counts bytes and rows in the bins of those
-intervals that still hold a target and reads only their rows; each round narrows an interval by 2 ** BITS
+intervals that still hold a target and reads only their rows; each round narrows an interval by up to 2 ** BITS
 until its bytes are within TOLERANCE of a shard or it is a single row, so a shard differs from total / shards
-by no more than the larger of TOLERANCE and one row. The driver holds at most targets x 2 ** BITS counters.
+by no more than the larger of TOLERANCE and one row. The driver holds at most COUNTERS counters, or two a target.
 
 Where a shard exceeds PART_BYTES it is cut into parts by further splitters of the same kind, so that the one
 exchange deals parts, not shards, to tasks; the rows counted below each splitter then give a part's first slot.
@@ -29,7 +29,8 @@ BITS = 10
 #: Share of a shard's bytes by which a splitter may miss its target.
 TOLERANCE = 0.0005
 PART_BYTES = 512_000_000
-MOST_PARTS = 64
+#: Counters that the driver holds in a round; with more targets a round resolves fewer bits.
+COUNTERS = 1 << 21
 SIGN = 2**63
 
 
@@ -56,7 +57,7 @@ def probe(keys: DataFrame, key: str, targets: list[int], near: float) -> list[tu
     out: dict[int, tuple[int, int, int, int]] = {}
     shift, live = 64, {0: [(k, 0) for k in range(len(targets))]}
     while live:
-        step = min(BITS, shift)
+        step = min(max(1, min(BITS, (COUNTERS // len(live)).bit_length() - 1)), shift)
         shift -= step
         rows = keys.select(F.shiftrightunsigned(unsigned(F.col(key)), shift).alias("bin") if shift else unsigned(F.col(key)).alias("bin"), "size")
         if shift + step < 64:
@@ -118,8 +119,11 @@ def place(hash_: Column, ident: Column, bounds: list, each: int) -> Column:
     longs = "array<array<struct<h:bigint,i:bigint>>>"
     groups = [[b or last for b in bounds[k * each : (k + 1) * each - 1]] for k in range((len(bounds) + 1) // each)]
     inner = F.array(*[F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("i")) for h, i in g]) for g in groups]).cast(longs)
-    own = F.struct(hash_.alias("h"), ident.alias("i"))
-    return shard * each + F.size(F.filter(F.get(inner, shard), lambda b: b <= own))
+    own, mine = F.struct(hash_.alias("h"), ident.alias("i")), F.get(inner, shard)
+    # Boundaries ascend: the number of those that the row isn't below, by halving.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(each.bit_length()))])
+    passed = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(mine, n + step - 1) <= own, n + step).otherwise(n))
+    return shard * each + passed
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -130,7 +134,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, part_bytes: int = PART_BYTES)
     hash_, ident = F.xxhash64(F.coalesce(text, F.lit(""))), F.coalesce(ident, F.lit(-SIGN).cast("long"))
     keys = stored(docs.select(hash_.alias("hash"), ident.alias("id"), size_of(text).alias("size")), "shard-keys")
     total = keys.agg(F.sum("size").alias("s")).first()["s"] or 0
-    each = max(1, min(MOST_PARTS, -(-total // (shards * part_bytes))))
+    each = max(1, -(-total // (shards * part_bytes)))
     bounds = splitters(keys, shards * each, TOLERANCE * total / shards, total) if total else []
     x = docs.select(*[F.col(f"`{c}`") for c in docs.columns], size_of(text).alias("size"), hash_.alias("_h"), ident.alias("_i"))
     x = x.withColumn("_part", place(F.col("_h"), F.col("_i"), bounds, each))
