@@ -39,6 +39,8 @@ RADIUS = 2
 SEED = 42
 #: Fingerprints in one tree; larger shards are cut.
 SHARD = 1024
+#: Fingerprints, at most, whose rows are named by broadcast: 16 bytes each.
+MOST_HOT = 100_000
 #: Shingles hashed at once.
 PIECE = 1 << 16
 
@@ -234,12 +236,15 @@ def components(links: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row."""
     fps = stored(fingerprints(docs, words), "fingerprints")
-    first = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    first = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     groups = components(linked(first.select("fp"), radius))
-    named = first.join(groups, first["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = first.join(groups, first["fp"] == groups["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
-    out = fps.join(names, "fp")
+    names = stored(named.join(least, "root").select("fp", "n", "component_id"), "named-fingerprints")
+    # Rows of a fingerprint that many share stay where they are: there are at most MOST_HOT such fingerprints.
+    hot = F.col("n") > max(SHARD, (first.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    few = F.broadcast(names.where(hot).drop("n"))
+    out = fps.join(few, "fp").unionByName(fps.join(few, "fp", "left_anti").join(names.where(~hot).drop("n"), "fp"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
