@@ -53,6 +53,13 @@ def test_hot_shards_are_cut(spark, monkeypatch):
     assert [got.get(x, x) for x in fps] == [fps[k] for k in roots]
 
 
+def test_hot_fingerprints_are_named(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 3)
+    monkeypatch.setattr(simhash, "MOST_HOT", 2)
+    df = H.odd(spark).unionByName(H.odd(spark)).unionByName(spark.createDataFrame([(k, "one text of many", "x") for k in range(50, 90)], H.SCHEMA))
+    assert H.rows(simhash.judged(df), "doc_id", "fingerprint", "component_id") == simhash_wanted(H.pairs(df))
+
+
 def test_bk_tree():
     r = np.random.default_rng(1)
     values = [int(x) for x in r.integers(0, 1 << 16, 300)]
@@ -339,6 +346,16 @@ def test_index_counts():
             assert hi[0] - lo[0] == count
 
 
+def test_a_passage_in_many_documents(spark):
+    r = np.random.default_rng(3)
+    passage, line = [f"p{k}" for k in range(60)], [f"l{k}" for k in range(20)]
+    some = lambda n: [f"x{k}" for k in r.integers(0, 1 << 40, n)]
+    # Shared as it is by half of the documents, at other cuts by some; the others share a line in contexts of their own.
+    made = [(d, " ".join(some(9) + (passage if d % 4 == 0 else passage[d % 20 : 40 + d % 21] if d % 4 == 2 else line) + some(30))) for d in range(6000)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert H.rows(fmindex.judged(df, shard=200), *FIELDS7) == sorted(H.substring(made, 35), key=str)
+
+
 def test_matching_statistics():
     r = np.random.default_rng(8)
     for _ in range(40):
@@ -426,6 +443,23 @@ def test_shards(spark, part_bytes):
     assert sharding.sharded(H.empty(spark), 8).count() == 0
 
 
+@pytest.mark.parametrize("part_bytes,counters", [(1 << 29, 1 << 21), (900, 1 << 21), (900, 64)])
+def test_shards_by_brute_force(spark, monkeypatch, part_bytes, counters):
+    monkeypatch.setattr(sharding, "COUNTERS", counters)
+    df = docs(spark).select("doc_id", "text").unionByName(H.odd(spark).select("doc_id", "text"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = sharding.sharded(df, 6, part_bytes).select("shard", "slot", "size", key.alias("h"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("i")).collect()
+    rows.sort(key=lambda r: (r["h"], r["i"], r["shard"], r["slot"]))
+    total, below, near = sum(r["size"] for r in rows), 0, max(r["size"] for r in rows)
+    assert [r["shard"] for r in rows] == sorted(r["shard"] for r in rows)
+    for k in range(6):
+        own = [r for r in rows if r["shard"] == k]
+        order = [(r["h"], r["i"]) for r in sorted(own, key=lambda r: r["slot"])]
+        assert sorted(r["slot"] for r in own) == list(range(len(own))) and order == sorted(order)
+        below += sum(r["size"] for r in own)
+        assert abs(below - total * (k + 1) / 6) <= near
+
+
 def test_a_hot_group_is_cut(spark):
     x = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy " * 20).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     sizes = [r["s"] for r in sharding.sharded(x, 10).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
