@@ -196,14 +196,14 @@ def fitted(pieces: Column, budget: int = 240) -> Column:
     return F.when(n > 0, F.concat(text, F.lit("; +"), n.cast("string"), F.lit(" more"))).otherwise(text)
 
 
-#: Where an identifier's next word starts, and what parts identifiers.
-HUMP = r"(?<=\p{IsLowercase})(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
+#: What stands before an identifier's next word, and what parts identifiers.
+HUMP = r"\p{IsLowercase}(?=\p{IsUppercase})|\p{IsUppercase}(?=\p{IsUppercase}\p{IsLowercase})"
 APART = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
 def pieces_of(text: Column) -> Column:
     """Lower-case words of identifiers: cut at what is neither letter nor number and at humps; no single characters or bare numbers."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, HUMP, " ")), APART), lambda x: (F.char_length(x) > 1) & ~x.rlike("^[0-9]+$"))
+    return F.filter(F.split(F.lower(F.regexp_replace(text, HUMP, "$0 ")), APART), lambda x: (F.char_length(x) > 1) & ~x.rlike("^[0-9]+$"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top: int = 20) -> DataFrame:
