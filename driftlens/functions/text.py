@@ -145,12 +145,6 @@ def round4(x: Column) -> Column:
     return F.round(x, 4)
 
 
-def holder(line: Column) -> Column:
-    """Whom a copyright notice names; null for other lines."""
-    bare = F.regexp_replace(line, r"(?i)^.*?copyright\s*(\(c\)|©)?\s*[0-9, -]*\s*(by\s+)?", "")
-    return F.when(F.lower(line).contains("copyright"), F.regexp_replace(bare, r"[\s.*/#-]+$", ""))
-
-
 def url_fields(query: Column) -> Column:
     """The fields of a url's query, decoded."""
     return F.transform_values(F.str_to_map(query, F.lit("&"), F.lit("=")), lambda _, v: F.url_decode(F.regexp_replace(v, r"\+", " ")))
@@ -187,3 +181,62 @@ def language(path: Column, text: Column) -> Column:
     tool = F.regexp_extract(first, r"^#!\s*\S*?([A-Za-z]+)[0-9.]*\s*$", 1)
     env = F.regexp_extract(first, r"^#!\s*\S*/env\s+(?:-\S+\s+)*([A-Za-z]+)[0-9.]*", 1)
     return F.coalesce(mapped(name, FILENAMES), mapped(F.regexp_extract(name, r"\.([^.]*)$", 1), EXTENSIONS), mapped(env, INTERPRETERS), mapped(tool, INTERPRETERS))
+
+
+def qualified_name(name: Column, scope: Column, separator: str = ".") -> Column:
+    """A name behind its scope; no scope: the name."""
+    return F.when(F.coalesce(scope, F.lit("")) == "", name).otherwise(F.concat(scope, F.lit(separator), name))
+
+
+def module_parts(path: Column) -> Column:
+    """The parts of a path without its extension; a package's own file names the package."""
+    parts = F.split(F.regexp_replace(path, r"\.[^.]*$", ""), "/")
+    return F.when(F.element_at(parts, -1) == "__init__", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def names_module(dotted_name: Column, module: Column) -> Column:
+    """Whether a dotted name is a module's (an array of parts); leading parts may be left off, trailing ones not."""
+    parts = F.split(dotted_name, r"\.")
+    n = F.size(parts)
+    return F.when(n <= F.size(module), F.slice(module, F.size(module) - n + 1, n) == parts).otherwise(False)
+
+
+def dotted(module: Column) -> Column:
+    """An import's path as a dotted name: leading dots and slashes, a script's extension and steps upward gone."""
+    bare = F.regexp_replace(F.regexp_replace(module, r"^[./]+", ""), r"\.(js|ts|jsx|tsx|mjs|py)$", "")
+    return F.translate(F.replace(bare, F.lit("../"), F.lit("")), "/", ".")
+
+
+def file_stem(path: Column) -> Column:
+    return F.substring_index(F.regexp_extract(path, r"[^/]*$", 0), ".", 1)
+
+
+def names_file(module: Column, path: Column) -> Column:
+    """Whether the last part of an import, but for script extensions, is a file's stem."""
+    tail = F.filter(F.split(module, "[/.]"), lambda x: (x != "") & ~x.isin("js", "ts"))
+    return F.coalesce(F.try_element_at(tail, F.lit(-1)) == file_stem(path), F.lit(False))
+
+
+def module_matches(path: Column, module: Column) -> Column:
+    """Whether the last part of a module, cut at dots, slashes and colons, is a file's stem."""
+    want = F.coalesce(F.try_element_at(F.filter(F.split(module, "[./:]"), lambda x: x != ""), F.lit(-1)), module)
+    return (want != "") & (want == file_stem(path))
+
+
+def symbols_identity(symbols: Column) -> Column:
+    """Name, kind and scope of each symbol whatever their order, parted by U+001F, symbols by U+001E."""
+    said = lambda s: F.concat_ws("\x1f", s["name"], s["kind"], F.coalesce(s["scope"], F.lit("")))
+    return F.array_join(F.transform(F.array_sort(symbols), said), "\x1e")
+
+
+def names_copyright(line: Column) -> Column:
+    """Whether a line is a notice, not prose that says the word."""
+    return F.lower(line).rlike(r"©|spdx-filecopyrighttext|copyright\s*(\(c\)|[0-9])")
+
+
+def copyright_holder(line: Column) -> Column:
+    """Who a notice names, in lower case, years and marks left out; nobody: null."""
+    low = F.lower(line)
+    after = lambda w: F.when(low.contains(w), F.regexp_extract(low, "(?s)" + w + "(.*)$", 1))
+    rest = F.coalesce(after("spdx-filecopyrighttext:"), after("copyright"), after("©"))
+    return F.nullif(squeeze(F.regexp_replace(rest, r"^[0-9\s,©-]*(\(c\))?[0-9\s,-]*", "")), F.lit(""))

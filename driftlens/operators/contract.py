@@ -83,3 +83,32 @@ def duplicated_helpers(added: DataFrame, least: float = 0.9) -> DataFrame:
     a, b = added.select(F.col("file").alias("first"), "name", F.col("lines").alias("l0")), added.select("file", "name", "lines")
     share = F.size(F.array_intersect("l0", "lines")) * 2 / (F.size("l0") + F.size("lines"))
     return a.join(b, "name").where((F.col("first") < F.col("file")) & (F.size("lines") >= 3) & (F.size("l0") >= 3)).where(share >= least).groupBy("name", "file").agg(F.min("first").alias("first"))
+
+
+def caller_index(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New calls (file, row, name, via_self, text), each with whether its file already had the same call."""
+    key = ["file", "name", "via_self", "text"]
+    seen = old.select(*key).dropDuplicates().withColumn("untouched", F.lit(True))
+    return new.join(seen, key, "left").select("file", "row", "name", "via_self", F.coalesce("untouched", F.lit(False)).alias("untouched"))
+
+
+def callers(sites: DataFrame, index: DataFrame) -> DataFrame:
+    """Calls that reach each changed callable (site, file, name, method): one by its bare name from anywhere, a method through
+    its own object from inside its file."""
+    x = index.withColumnsRenamed({"file": "at", "via_self": "method"}).join(sites, ["name", "method"])
+    return x.where(~F.col("method") | (F.col("at") == F.col("file"))).select("site", "at", "row", "untouched")
+
+
+def getter_flipped(old: DataFrame, new: DataFrame, reads: DataFrame, named: DataFrame) -> DataFrame:
+    """Members that turned from method to property or back, and the uses that still follow the old form.
+
+    old, new: file, owner, name, getter; reads: file, row, name, called; named (file, owner): files that name a class. A use
+    in another file counts if that file names the owner. Members that stand twice on a side are left out."""
+    key = ["file", "owner", "name"]
+    once = lambda x, c: x.groupBy(*key).agg(F.count("*").alias("n"), F.first("getter").alias(c)).where("n = 1").drop("n")
+    flips = once(old, "was").join(once(new, "now"), key).where("was <> now and owner is not null")
+    uses = flips.select(*key, F.col("now").alias("called")).join(reads.withColumnRenamed("file", "at"), ["name", "called"])
+    known = named.select(F.col("file").alias("at"), "owner").dropDuplicates().withColumn("names", F.lit(True))
+    stale = uses.join(known, ["at", "owner"], "left").where((F.col("at") == F.col("file")) | F.col("names"))
+    now = F.when(F.col("called"), "property").otherwise("method")
+    return stale.groupBy(*key, now.alias("now")).agg(F.count("*").alias("uses"), F.min("at").alias("first_file"))

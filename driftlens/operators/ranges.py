@@ -154,3 +154,36 @@ def relocate(anchors: DataFrame, lines: DataFrame) -> DataFrame:
     hash (ties: the earlier), else stale (null). lines: file, row_no, hash."""
     met = anchors.join(lines, ["file", "hash"]).groupBy("id", "file", "start", "hash").agg(F.min_by("row_no", F.struct(F.abs(F.col("row_no") - F.col("start")), "row_no")).alias("place"))
     return anchors.select("id", "file", "start", "hash").join(met, ["id", "file", "start", "hash"], "left")
+
+
+def note_on(notes: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(note, review, file, hunk): the first hunk of the file that meets a note's old or new rows; an empty side meets nothing.
+
+    notes: note, review, file, o0, o1 (null: no old rows), n0, n1, from 1 and inclusive."""
+
+    def met(lo: str, hi: str) -> DataFrame:
+        bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN)))
+        n = notes.where(F.col(hi) >= F.col(lo)).select("note", *KEY, F.col(lo).alias("a"), F.col(hi).alias("b")).withColumn("_bin", bins("a", "b"))
+        h = hunks.where(F.col(hi) >= F.col(lo)).select(*HUNK, lo, hi).withColumn("_bin", bins(lo, hi))
+        return n.join(h, [*KEY, "_bin"]).where((F.col("a") <= F.col(hi)) & (F.col("b") >= F.col(lo))).select("note", *HUNK)
+
+    return met("o0", "o1").unionByName(met("n0", "n1")).groupBy("note", *KEY).agg(F.min("hunk").alias("hunk"))
+
+
+def shape(hunks: DataFrame, spans: DataFrame, nesting: DataFrame, declared: DataFrame, uses: DataFrame) -> DataFrame:
+    """Largest lines, parameters and nesting of what a hunk's new rows start, and whether a definition among them names itself
+    more often than it is declared.
+
+    spans: review, file, name, lo, hi, params; nesting: review, file, row_no, depth; declared: review, file, name, lo, hi, rows
+    of a declaration; uses: review, file, row_no, name."""
+    own = [*KEY, "name", "lo", "hi"]
+    s = spans.select(*own, "params").dropDuplicates()
+    d = s.withColumnRenamed("lo", "start")
+    held = inside(uses.withColumnRenamed("name", "used"), "row_no", s, "lo", "hi").where("used = name").groupBy(*own).agg(F.count("*").alias("named"))
+    told = inside(d, "start", declared.select(*KEY, F.col("name").alias("told"), F.col("lo").alias("from"), F.col("hi").alias("to")), "from", "to")
+    told = told.where("told = name").groupBy(*KEY, "name", F.col("start").alias("lo"), "hi").agg(F.count("*").alias("declarations"))
+    each = s.join(held, own, "left").join(told, own, "left").na.fill(0, ["named", "declarations"])
+    rows = hunks.select(*HUNK, "n0", "n1")
+    started = inside(each, "lo", rows, "n0", "n1").groupBy(*HUNK).agg(F.max(F.col("hi") - F.col("lo") + 1).alias("lines"), F.max("params").alias("params"), F.bool_or(F.col("named") > F.col("declarations")).alias("recursive"))
+    deep = covered(nesting, rows).groupBy(*HUNK).agg(F.max("depth").alias("nesting"))
+    return hunks.select(*HUNK).join(started, HUNK, "left").join(deep, HUNK, "left").na.fill(0, ["lines", "params", "nesting"]).na.fill(False, ["recursive"])

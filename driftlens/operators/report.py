@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.functions import text
 from driftlens.operators.graph import cut
 
 HUNK = ["review", "file", "hunk"]
@@ -225,3 +226,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     scored = terms.join(tf.join(df, "term").select("id", "term", weight.alias("w")), "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "id"))
     return scored.withColumn("place", place).where(F.col("place") <= top).select("query", "place", "id", F.round("score", 4).alias("score"))
+
+
+def winnow(files: DataFrame, globs: list[str], declared: DataFrame, skip_generated: bool = True) -> DataFrame:
+    """Paths, each with why it is dropped (generated, globbed, declared) or null where it stays. declared: path, attribute, value
+    as a repository's attributes state them."""
+    says = ((F.col("attribute") == "linguist-generated") & F.col("value").isin("set", "true")) | ((F.col("attribute") == "diff") & (F.col("value") == "unset"))
+    marked = declared.where(says).select("path").dropDuplicates().withColumn("said", F.lit(True))
+    skip = F.lit(skip_generated)
+    path = F.col("path")
+    why = F.when(skip & text.is_generated(path), "generated").when(~text.selected(path, globs), "globbed").when(skip & F.col("said"), "declared")
+    return files.join(marked, "path", "left").withColumn("dropped", why).drop("said")
+
+
+def tally(winnowed: DataFrame) -> DataFrame:
+    """Paths seen, and dropped for each reason."""
+    of = lambda r: F.count_if(F.col("dropped") == r).alias(r)
+    return winnowed.agg(F.count("*").alias("seen"), of("generated"), of("globbed"), of("declared"))

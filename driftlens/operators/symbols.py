@@ -169,3 +169,12 @@ def extractions(old: DataFrame, new: DataFrame, least: int = 3) -> DataFrame:
     shared = added.dropDuplicates().join(left, ["file", "line"]).groupBy("file", "name", "source").agg(F.count_distinct("line").alias("shared"))
     good = shared.join(sizes, ["file", "name"]).where((F.col("shared") >= least) & (2 * F.col("shared") >= F.col("size")))
     return good.groupBy("file", "name").agg(F.min_by("source", F.struct(-F.col("shared"), F.col("source"))).alias("source"), F.max("shared").alias("shared"))
+
+
+def local_definitions(defines: DataFrame, locals_: DataFrame) -> DataFrame:
+    """(grp, symbol, lo, hi): rows that see a group's definition, for symbols that no hunk of the group defines for its whole file.
+
+    defines: grp, hunk, symbol; locals_: hunk, symbol, lo, hi."""
+    met = defines.select("grp", "hunk", "symbol").dropDuplicates().join(locals_, ["hunk", "symbol"], "left")
+    whole = met.where("lo is null").select("grp", "symbol").dropDuplicates()
+    return met.where("lo is not null").join(whole, ["grp", "symbol"], "left_anti").select("grp", "symbol", "lo", "hi")

@@ -23,7 +23,8 @@ def test_names(spark):
     assert one(spark, text.language(F.col("p"), F.col("t")), p="run", t="#!/usr/bin/env -S python3.12\n") == "python"
     assert one(spark, text.language(F.col("p"), F.col("t")), p="run", t="none") is None
     assert one(spark, text.url_fields(F.col("q")), q="a=1+2&b=%41") == {"a": "1 2", "b": "A"}
-    assert one(spark, text.holder(F.col("s")), s="// Copyright (c) 2020-2024 Some One.") == "Some One"
+    holder = text.copyright_holder(F.col("s"))
+    assert one(spark, holder, s="// Copyright (C) 2011-2024 Some  One") == "some one" and one(spark, holder, s="no notice") is None
     assert one(spark, text.is_generated(F.col("p")), p="x/vendor/a.c") and not one(spark, text.is_generated(F.col("p")), p="a.c")
 
 
@@ -52,6 +53,33 @@ def test_rules(spark):
     assert [(r.name, r.note) for r in kept] == [("a", "n")]
 
 
+def test_growth_limits(spark):
+    figures = lambda n, k: Row(**{m: n if m == "nesting" else k for m in rules.FIGURES})
+    x = spark.createDataFrame([Row(key=1, deltas=[Row(name="f", was=figures(1, 0), now=figures(4, 9)), Row(name="g", was=figures(1, 0), now=figures(4, 2))]), Row(key=2, deltas=[Row(name="h", was=figures(4, 9), now=figures(1, 0))])])
+    r = rules.Rule("grown", max_nesting_delta=2, max_lines_delta=5)
+    assert [(v["key"], v["rule"]) for v in rules.findings(x, [r], ["key"]).collect()] == [(1, "grown")]
+    assert [v["g"] for v in x.orderBy("key").select(r.grown().alias("g")).collect()] == ["f: nesting 1 → 4, lines 0 → 9", None]
+
+
+def test_copyright_notice(spark):
+    def said(old, new, o0, o1, n0, n1):
+        lines = lambda v: F.array(*[F.lit(t) for t in v]) if v else F.array().cast("array<string>")
+        return spark.range(1).select(classify.copyright_notice(lines(old), lines(new), *map(F.lit, (o0, o1, n0, n1)), F.lit("py")).alias("x")).first()["x"]
+
+    a, b, c = "# Copyright 2020 One", "# Copyright 2020-2024 One", "# Copyright 2024 Two"
+    assert said([a, "x = 1"], [b, "x = 1"], 1, 1, 1, 1)
+    assert not said([a, "x = 1"], [c, "x = 1"], 1, 1, 1, 1)  # a holder is lost
+    assert not said(["x = 1", a], ["x = 1", b], 2, 2, 2, 2)  # code above
+    assert not said([a, "x = 1"], ["x = 1"], 1, 1, 1, 0)  # nothing stays
+    assert said(["x = 1"], [a, "x = 1"], 1, 0, 1, 1)
+
+
+def test_annotations(spark):
+    lines = F.split("s", "\n")
+    said = lambda s: one(spark, classify.annotations_only(classify.bare(lines)), s=s)
+    assert said("@a\n\n  @b(1)") and not said("@a\ndef f():") and not said("")
+
+
 def test_comments(spark):
     c = lambda *x: F.array(*[F.lit(v) for v in x])
     row = spark.range(1).select(classify.comment_only(c("# a", "")).alias("a"), classify.shift(c("x()"), c("# x()")).alias("b"), classify.shift(c("// x()"), c("x()")).alias("c")).first()
