@@ -129,9 +129,18 @@ def selected(path: Column, globs: list[str]) -> Column:
     return yes
 
 
+QUOTED = "(?s)^([\"'`])(.*)\\1$"
+
+
 def unquote(s: Column) -> Column:
-    """Without one pair of equal quotes around it."""
-    return F.when(s.rlike("(?s)^(\"[^\"]*\"|'[^']*'|`[^`]*`)$"), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    """Without the pairs of equal quotes around it, however many."""
+    marks = F.sequence(F.lit(0), F.length(F.regexp_extract(s, "^[\"'`]*", 0)))
+    return F.aggregate(marks, s, lambda t, _: F.regexp_replace(t, QUOTED, "$2"))
+
+
+def quoted(s: Column) -> Column:
+    """In double quotes; in single ones when only that keeps it clear."""
+    return F.when(s.contains('"') & ~s.contains("'"), F.concat(F.lit("'"), s, F.lit("'"))).otherwise(F.concat(F.lit('"'), s, F.lit('"')))
 
 
 def constant_name(s: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlens.functions import text
-from driftlens.operators import classify, contract, ranges, report, rules, symbols
+from driftlens.operators import classify, contract, narrate, ranges, report, rules, symbols
 from driftlens.plans.bindings import BINDINGS
 from driftlens.plans.core import register
 
@@ -215,3 +215,47 @@ def _(x):
     intent = F.when(zero(s, 4), "Guard").when(zero(s, 3), "NamesLiteral")
     kind = classify.hunk_kind(zero(p, 23), zero(p, 19), zero(s, 13), zero(p, 2), zero(s, 7), imports, zero(p, 11), zero(p, 7), zero(s, 11), zero(p, 5), intent, zero(p, 3))
     return x.select(F.col("l_orderkey").alias("review"), F.col("l_linenumber").alias("hunk"), kind.alias("kind"))
+
+
+# Narration: the facts of a hunk from an order's line.
+
+BINDINGS["told"] = """
+SELECT l_orderkey AS review, l_linenumber AS hunk, CAST(l_partkey % 4 AS BIGINT) AS old_lines, CAST(floor(l_quantity) AS BIGINT) % 7 AS new_lines, l_returnflag = 'R' AS noisy, l_suppkey % 3 = 0 AS import, l_partkey AS p, l_suppkey AS s,
+       CASE WHEN l_partkey % 2 = 0 THEN concat('Outer.f', CAST(l_suppkey % 9 AS VARCHAR(20))) END AS home FROM lineitem
+"""
+SAY = """WITH y AS (SELECT *, CASE p % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'a, b' WHEN 2 THEN 'a, b, c' WHEN 3 THEN 'a, b, c, and 1 more' ELSE '' END AS names, CASE WHEN home IS NULL THEN '' ELSE ' in ' || home END AS loc FROM told)"""
+
+
+def named(n):
+    return F.slice(F.array(*[F.lit(x) for x in "abcd"]), 1, n)
+
+
+def narrated(told):
+    p, s, old, new = F.col("p"), F.col("s"), F.col("old_lines"), F.col("new_lines")
+    names = named(F.when(p % 5 == 4, 0).otherwise(p % 5 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    home = narrate.label(F.col("home"))
+    no = F.lit(False)
+    noise = narrate.noise(F.col("noisy"), F.col("import"), names, no, new, named(F.when(s % 2 == 0, 2).otherwise(0)), s % 7 == 0, s % 5 == 0)
+    imports = narrate.imported(F.col("import"), names, F.array(F.lit("a")), F.create_map(F.lit("b"), F.lit("z")), new, s % 4 == 0, s % 2 == 1)
+    shift = narrate.switched(F.when(s % 11 == 0, "commented out").when(s % 11 == 1, "uncommented").when(s % 11 == 2, "code to comment"), none, old, home)
+    comment = narrate.commented(s % 13 == 0, old, new, home)
+    i = F.struct(F.when(p % 7 == 0, "Boundary").when(p % 7 == 1, "Guard").alias("tag"), F.lit("x < 1").alias("old"), F.lit("x <= 1").alias("new"), F.lit("x is None").alias("text"), F.when(s % 2 == 0, "Return").otherwise("out").alias("word"), F.lit(2).alias("count"), no.alias("flag"), none.alias("func"))
+    one = narrate.single(F.when(p % 7 == 2, "Num").when(p % 7 == 3, "Arg"), F.when(p % 7 == 2, F.lit("3")).otherwise(""), F.lit(", 5"), home)
+    contained = narrate.contained(home, old, new, no, none, narrate.intent(i, home), one)
+    shape = narrate.shaped(old == 0, contained, no, none, none, narrate.sized(old, new, F.when(s % 6 == 0, "#ifdef A"), F.when(s % 5 == 0, "below")))
+    return told.select("review", "hunk", F.coalesce(noise, imports, shift, comment, shape).alias("said"))
+
+
+register("narration", ("told",), f"""{SAY},
+z AS (SELECT *, CASE WHEN old_lines = 1 THEN '1 line' ELSE old_lines || ' lines' END AS lo, CASE WHEN greatest(new_lines, 1) = 1 THEN '1 line' ELSE new_lines || ' lines' END AS ln, CASE WHEN s % 2 = 1 THEN 're-export' ELSE 'import' END AS noun FROM y),
+c AS (SELECT *, CASE WHEN noisy AND NOT (import AND (new_lines > 0 OR names <> '')) THEN CASE WHEN import AND new_lines = 0 AND s % 2 = 0 THEN 'moves import a, b' WHEN s % 7 = 0 THEN 'generated file' WHEN s % 5 = 0 THEN 'copyright notice' ELSE 'formatting only' END
+WHEN import AND new_lines > 0 THEN CASE WHEN names = '' THEN noun ELSE CASE WHEN s % 4 = 0 THEN 'moves ' ELSE 'changes ' END || noun || ' ' || names END
+WHEN import AND names <> '' THEN CASE p % 5 WHEN 0 THEN 'removes ' || noun || ' a' WHEN 1 THEN 'renames import b → z; removes ' || noun || ' a' WHEN 2 THEN 'renames import b → z; removes ' || noun || ' a, c' ELSE 'renames import b → z; removes ' || noun || ' a, c, d' END
+WHEN s % 11 = 0 THEN 'comments out code' || loc WHEN s % 11 = 1 THEN 'uncomments code' || loc WHEN s % 11 = 2 THEN 'replaces ' || lo || ' with ' || CASE WHEN old_lines = 1 THEN 'a comment' ELSE 'comments' END || loc
+WHEN s % 13 = 0 THEN CASE WHEN old_lines = 0 THEN 'adds comment' || replace(loc, ' in ', ' to ') WHEN new_lines = 0 THEN 'removes comment' || replace(loc, ' in ', ' from ') ELSE 'edits comment' || loc END
+WHEN home IS NOT NULL THEN CASE p % 7 WHEN 0 THEN 'changes boundary x < 1 → x <= 1' || loc WHEN 1 THEN CASE WHEN s % 2 = 0 THEN 'returns early' ELSE 'jumps to out' END || ' when x is None' || loc WHEN 2 THEN 'changes 3 → , 5' || loc WHEN 3 THEN 'adds argument 5' || loc
+ELSE CASE WHEN old_lines > 0 OR new_lines <= 3 THEN 'edits ' || home ELSE 'adds ' || new_lines || ' lines to ' || home END END
+WHEN s % 6 = 0 AND new_lines = 0 AND s % 5 <> 0 THEN 'removes #ifdef A' WHEN s % 6 = 0 AND old_lines = 0 THEN 'adds #ifdef A'
+WHEN new_lines = 0 AND old_lines > 0 THEN CASE WHEN s % 5 = 0 THEN 'replaces ' || lo || ', added below' ELSE 'removes ' || lo END WHEN old_lines = 0 THEN 'adds ' || ln ELSE 'edits ' || ln END AS said FROM z)
+SELECT review, hunk, said FROM c""")(narrated)
