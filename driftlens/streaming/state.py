@@ -52,9 +52,9 @@ def drift_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(drift, "key string, changes long", "n long", "update", "ProcessingTimeTimeout")
 
 
-def replay(spark: SparkSession, path: str, schema: str, transform, name: str, checkpoint: str) -> DataFrame:
-    """Runs a streaming transformation over what lies in a folder, to its end, into a memory table."""
+def replay(spark: SparkSession, path: str, schema: str, transform, out: str, checkpoint: str) -> DataFrame:
+    """Runs a streaming transformation over what lies in a folder, to its end, into the files of another folder."""
     stream = transform(spark.readStream.schema(schema).parquet(path))
-    query = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
