@@ -10,9 +10,11 @@ brings the shard together, not by the driver: a broadcast would gather all docum
 
 ``components`` joins the stars by alternating large-star and small-star steps, each a stored table.
 
-``near_duplicates`` finds pairs of a given Jaccard similarity: shards are the smallest shingle hashes that documents
-share, an upper bound of the shingles in common links the pairs that may be similar, and exact shingle sets decide
-inside each candidate group.
+``near_duplicates`` groups documents of a given Jaccard similarity. Fingerprints of the distinct shingles, linked as above
+within NEAR_RADIUS bits, make the first groups, whose links exact shingle sets confirm. At similarity 0.8 fingerprints differ
+by 10 bits on average, so what lies beyond the radius is looked for as well: shards are the smallest shingle hashes that
+documents share, an upper bound of the shingles in common links the pairs that may be similar, and exact shingle sets decide
+inside each candidate group that is not yet known to be connected.
 
 Defined cases: null and empty texts, and texts of white space, have no words and fingerprint zero, linked like any
 other; texts with fewer words than a shingle are one shingle; repeated rows each get a row; a null doc_id never is a
@@ -22,7 +24,7 @@ component's smallest unless it has no other; an empty table gives an empty table
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby, repeat
 
 import numpy as np
@@ -44,9 +46,10 @@ MOST_HOT = 100_000
 #: Shingles hashed at once.
 PIECE = 1 << 16
 
-#: Near-duplicates of the pipeline: shingle words, least Jaccard similarity, and values of a sketch. Two bottom-8 sketches
-#: at similarity 0.8 share no value with a probability below 0.2 ** 8.
+#: Near-duplicates of the pipeline: shingle words, bits that linked fingerprints differ in at most, least Jaccard similarity,
+#: and values of a sketch. Two bottom-8 sketches at similarity 0.8 share no value with a probability below 0.2 ** 8.
 NEAR_WORDS = 5
+NEAR_RADIUS = 3
 SIMILARITY = 0.8
 SKETCH = 8
 #: Bands of the documents of hot sketch values, and hashes of each: at similarity 0.8 two documents share no band with a
@@ -75,8 +78,13 @@ def shingles(text: bytes | None, words: int) -> Iterator[list[int]]:
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     """As a signed 64-bit number."""
+    return majority(shingles(text, words))
+
+
+def majority(pieces: Iterable) -> int:
+    """The bits set in over half of the hashes, which come a bounded list at a time."""
     ones, n = np.zeros(64, np.int64), 0
-    for got in shingles(text, words):
+    for got in pieces:
         ones += np.unpackbits(np.array(got, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(got)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]) if n else 0
@@ -266,24 +274,25 @@ def banded(h: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """row, words, n, counts, sketch, bands for documents with columns row and text, all of the set of distinct shingles.
+    """row, words, fp, n, counts, sketch, bands for documents with columns row and text, all of the set of distinct shingles.
 
-    words: a digest of the sequence of words; n: their number; counts: how many fall in each bucket of the hash, a byte a bucket, 255 at most; sketch: the smallest
+    words: a digest of the sequence of words; fp: the fingerprint; n: the number of shingles; counts: how many fall in each bucket of the hash, a byte a bucket, 255 at most; sketch: the smallest
     hashes, ascending; bands: see ``banded``. There are a quarter to a half as many buckets as shingles, a power of two,
     64 at least.
     """
 
-    def one(text: bytes | None) -> tuple[bytes, int, bytes, list[int], list[int]]:
+    def one(text: bytes | None) -> tuple[bytes, int, int, bytes, list[int], list[int]]:
         h, line = shingle_set(text, words), b" ".join((text or b"").lower().split())
         buckets = 1 << max(6, (len(h) // 4).bit_length())
         counts = np.minimum(np.bincount((h % buckets).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
         bands = banded(h)
-        return hashlib.sha256(line).digest(), len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist(), bands[bands != -1].tolist()
+        fp = majority(h[k : k + PIECE] for k in range(0, len(h), PIECE))
+        return hashlib.sha256(line).digest(), fp, len(h), counts.tobytes(), h[:SKETCH].view(np.int64).tolist(), bands[bands != -1].tolist()
 
     def make():
-        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [], [], [])
+        return lambda texts: tuple(map(list, zip(*[one(t) for t in texts], strict=True))) if texts else ([], [], [], [], [], [])
 
-    return text_mapped(docs, "text", make, {"words": BINARY, "n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG), "bands": T.ArrayType(LONG)}, ["row"])
+    return text_mapped(docs, "text", make, {"words": BINARY, "fp": LONG, "n": LONG, "counts": BINARY, "sketch": T.ArrayType(LONG), "bands": T.ArrayType(LONG)}, ["row"])
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -424,8 +433,16 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
 
 
-def exact(groups: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """All links that connect the documents of each candidate group (group, row, n) by exact similarity.
+def fingerprint_groups(sketches: DataFrame, radius: int) -> DataFrame:
+    """group, row, n of documents whose fingerprints are linked, group being the fingerprint of smallest number; none alone."""
+    roots = components(linked(sketches.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    whole = sketches.select("fp", "row", "n").join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("group"), "row", "n")
+    return whole.join(whole.groupBy("group").count().where("count > 1").select("group"), "group")
+
+
+def exact(groups: DataFrame, texts: DataFrame, words: int, least: float, given: DataFrame | None = None) -> DataFrame:
+    """All links that connect the documents of each candidate group (group, row, n) by exact similarity, those given included.
+    What these connect is not compared again, and groups that they connect as a whole are not read.
 
     Each text goes to one block of its group first, then one document of each connected part does, until the parts of a
     group fit a block or no longer meet. What is not in a group's largest part by then is compared with all of the
@@ -440,8 +457,11 @@ def exact(groups: DataFrame, texts: DataFrame, words: int, least: float) -> Data
         block = F.pmod(F.xxhash64("row", F.lit(seed)), F.col("blocks"))
         return rows.join(blocks_of(rows), "group").withColumn("key", F.struct("group", block.alias("block")))
 
-    rows = stored(groups.withColumn("part", F.col("row")), "candidate-groups")
-    asked, links, known, seed = rows, None, None, 0
+    rows = stored(groups.withColumn("part", F.col("row")) if given is None else parted(groups, given), "candidate-groups")
+    asked, links, known, seed = rows, given, None, 0
+    if given is not None:
+        several = rows.groupBy("group").agg(F.count_distinct("part").alias("parts")).where("parts > 1").select("group")
+        asked = stored(rows.join(several, "group", "left_semi"), "groups-in-parts")
     while True:
         found = compared(dealt(asked, seed))
         links = found if links is None else links.unionByName(found)
@@ -477,7 +497,7 @@ def exact(groups: DataFrame, texts: DataFrame, words: int, least: float) -> Data
     return links.unionByName(compared(inner.unionByName(outer).unionByName(main)))
 
 
-def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """row, root for documents with columns row (a distinct long) and text; equal words collapse first.
 
     row and root are of the same group if a chain of documents, each at least ``least`` similar to the next, joins them;
@@ -491,13 +511,16 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIM
     first = stored(named.groupBy("words").agg(F.min("row").alias("row")), "distinct-words")
     sketches = stored(every.drop("words").join(first.select("row"), "row", "left_semi"), "sketches")
     forget(every)
+    texts = docs.select("row", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    near = stored(fingerprint_groups(sketches, radius), "fingerprint-groups")
+    confirmed = stored(exact(near, texts, words, least), "confirmed-links")
+    # What the radius leaves out.
     groups = components(candidates(sketches, least))
     whole = groups.select(F.col("node").alias("row"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("row"), F.col("root").alias("group")).distinct())
     whole = stored(whole.join(sketches.select("row", "n"), "row").select("group", "row", "n"), "candidates")
     forget(sketches)
-    texts = docs.select("row", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    roots = components(exact(whole, texts, words, least))
-    forget(whole)
+    roots = components(exact(whole, texts, words, least, confirmed))
+    forget(near, confirmed, whole)
     kept = first.select("words", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("words", F.coalesce("root", "row").alias("root"))
     return named.join(kept, "words").select("row", "root")
 

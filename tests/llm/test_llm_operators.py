@@ -136,6 +136,18 @@ def test_large_groups_are_exact(spark, monkeypatch, shard, block, shingles):
     assert dict(map(tuple, got.collect())) == dict(enumerate(groups))
 
 
+@pytest.mark.parametrize("radius", [simhash.RADIUS + 1, 64])
+def test_fingerprints_group_near_copies(spark, monkeypatch, radius):
+    # Without the search beyond the radius: links of fingerprints, confirmed exactly.
+    monkeypatch.setattr(simhash, "candidates", lambda sketches, least: sketches.selectExpr("row as a", "row as b").limit(0))
+    words = [[f"w{k}x{i}" for i in range(400)] for k in range(6)]
+    made = [" ".join(w[: len(w) - cut]) for w in words for cut in (0, 1, 2)] + [" ".join(words[0][:250] + words[1][:150])]
+    groups = jaccard_groups(list(enumerate(made)))
+    assert len(set(groups)) == 7
+    got = dict(map(tuple, simhash.near_duplicates(spark.createDataFrame(list(enumerate(made)), "row long, text string"), radius=radius).collect()))
+    assert got == dict(enumerate(groups))
+
+
 # 2: chat.
 
 
