@@ -8,7 +8,9 @@ a shard's BK-tree (children keyed by their integer distance to the parent) and f
 it emits a star of each connected part, never all pairs. Trees go to the tasks that ask them by the exchange that
 brings the shard together, not by the driver: a broadcast would gather all documents' fingerprints there.
 
-``components`` joins the stars by alternating large-star and small-star steps, each a stored table.
+``components`` joins the stars by alternating large-star and small-star steps, each a stored table. A task first replaces
+its own links by stars of the same connected parts; at most SMALL links lie in one partition, where that leaves stars of
+whole components, and the steps are taken without an exchange.
 
 ``near_duplicates`` groups documents of a given Jaccard similarity. Fingerprints of the distinct shingles, linked as above
 within NEAR_RADIUS bits, make the first groups, whose links exact shingle sets confirm. At similarity 0.8 fingerprints differ
@@ -45,6 +47,8 @@ SHARD = 1024
 MOST_HOT = 100_000
 #: Shingles hashed at once.
 PIECE = 1 << 16
+#: Links that a task contracts at once, and those of a graph that lies in one partition: 16 bytes each.
+SMALL = 1 << 18
 
 #: Near-duplicates of the pipeline: shingle words, bits that linked fingerprints differ in at most, least Jaccard similarity,
 #: and values of a sketch. Two bottom-8 sketches at similarity 0.8 share no value with a probability below 0.2 ** 8.
@@ -197,9 +201,9 @@ def sharded(fps: DataFrame, radius: int) -> DataFrame:
         rows = stored(rows, "shards")
         done.append(rows.join(hot, ["mask", "value"], "left_anti"))
         options = [m for m in masks if m % 2**64 != 2**64 - 1]
-        finer = F.lit(None).cast("array<bigint>")
+        finer = F  # one flat choice: nested ones overflow the driver's stack when shards are cut several times
         for m in options:
-            finer = F.when(F.col("mask") == m, F.array(*[F.lit(signed(c)).cast("long") for c in cut(m % 2**64, radius + 1)])).otherwise(finer)
+            finer = finer.when(F.col("mask") == m, F.array(*[F.lit(signed(c)).cast("long") for c in cut(m % 2**64, radius + 1)]))
         rows = keyed(rows.join(hot, ["mask", "value"], "left_semi").select("fp", finer.alias("finer")), F.col("finer")).distinct()
         masks = [signed(c) for m in options for c in cut(m % 2**64, radius + 1)]
 
@@ -217,24 +221,59 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(trimmed(shard_links(radius)), schema(a=LONG, b=LONG))
 
 
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (node, smallest node) of the connected parts of links (a, b), at most SMALL links and a batch at a time."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes, ends = np.unique(np.concatenate([b.column(k).to_numpy() for k in (0, 1) for b in held]), return_inverse=True)
+        parent = list(range(len(nodes)))
+        for x, y in zip(*(e.tolist() for e in np.split(ends, 2)), strict=True):
+            x, y = root(parent, x), root(parent, y)
+            parent[max(x, y)] = min(x, y)
+        least = np.array([root(parent, k) for k in range(len(parent))])
+        leaf = np.flatnonzero(least != np.arange(len(least)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf], pa.int64()), pa.array(nodes[least[leaf]], pa.int64())], names=["a", "b"])
+
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held, n = [*held, b], n + b.num_rows
+        if n > SMALL:
+            yield star(held)
+            held, n = [], 0
+    if held:
+        yield star(held)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each linked node's component; nodes without links have no row."""
 
     def state(x: DataFrame):
         return x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    known = state(edges)
+    def stars(x: DataFrame) -> DataFrame:
+        return x.mapInArrow(trimmed(contracted), schema(a=LONG, b=LONG))
+
+    links = stored(stars(links.where("a <> b").select("a", "b")), "links")
+    few = links.count() <= SMALL
+    # Tables of one partition are joined and grouped where they lie.
+    placed = (lambda x: x.coalesce(1)) if few else (lambda x: x)
+    edges = stored(stars(placed(links)) if few else links.distinct(), "stars")
+    forget(links, collect=False)
+    known = state(placed(edges))
     while known[0]:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = placed(edges)
+        both = placed(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         before, large = edges, stored(large.where("a <> b").distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), "small-star")
+        far = placed(large)
+        least = far.groupBy("a").agg(F.min("b").alias("m"))
+        small = far.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = stored(placed(small).where("a <> b").distinct(), "small-star")
         forget(before, large, collect=False)
-        now = state(edges)
+        now = state(placed(edges))
         if now == known:
             break
         known = now

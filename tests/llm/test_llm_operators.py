@@ -53,6 +53,40 @@ def test_hot_shards_are_cut(spark, monkeypatch):
     assert [got.get(x, x) for x in fps] == [fps[k] for k in roots]
 
 
+def chained():
+    """Links of three chains of 1,000 nodes in random order, and the smallest node of each node's chain."""
+    nodes = np.random.default_rng(5).permutation(3000).reshape(3, 1000)
+    return [(int(a), int(b)) for row in nodes for a, b in zip(row, row[1:], strict=False)], {int(x): int(row.min()) for row in nodes for x in row if x != row.min()}
+
+
+def test_chains_take_few_tasks(spark):
+    links, want = chained()
+    df = spark.createDataFrame(links, "a long, b long").repartition(8)
+    tracker = spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("chains", "components of chains")
+    try:
+        got = dict(map(tuple, simhash.components(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {k for j in tracker.getJobIdsForGroup("chains") for k in tracker.getJobInfo(j).stageIds}
+    tasks = sum(x.numTasks for k in stages if (x := tracker.getStageInfo(k)))
+    assert got == want and tasks < 60, tasks
+
+
+def test_graphs_of_many_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 40)
+    links, want = chained()
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links[k : k + 9], strict=True)], names=["a", "b"]) for k in range(0, len(links), 9)]
+    stars = [(a, b) for x in simhash.contracted(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    assert all(a > b for a, b in stars) and len(stars) > len({a for a, _ in stars}) > 1000
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == want
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(stars, "a long, b long")).collect()))
+    assert got == want
+
+
 def test_hot_fingerprints_are_named(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 3)
     monkeypatch.setattr(simhash, "MOST_HOT", 2)
