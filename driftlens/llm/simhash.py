@@ -255,7 +255,11 @@ def components(links: DataFrame) -> DataFrame:
     def stars(x: DataFrame) -> DataFrame:
         return x.mapInArrow(trimmed(contracted), schema(a=LONG, b=LONG))
 
-    links = stored(stars(links.where("a <> b").select("a", "b")), "links")
+    # Links are stored first: to contract them in the tasks that find them would keep twice the Python workers.
+    links = stored(links.where("a <> b").select("a", "b"), "links")
+    if links.count() > SMALL:
+        found, links = links, stored(stars(links), "contracted")
+        forget(found, collect=False)
     few = links.count() <= SMALL
     # Tables of one partition are joined and grouped where they lie.
     placed = (lambda x: x.coalesce(1)) if few else (lambda x: x)
